@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperweir.llm import bpe
+from paperweir.llm import bpe, knn
 from paperweir.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks whose embeddings are among each other's ten most similar, from a cosine of 0.9."""
+    pairs = knn.similar_pairs(table(spark, d, "chunks"))
+    return pairs.select(pairs.a.alias("chunk_id_a"), pairs.b.alias("chunk_id_b"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode_documents(table(spark, d, "documents"))
@@ -17,7 +23,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"p6_ids": p6_ids}
+    return {"p3_found": p3_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
