@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperweir.llm import bpe, knn
+from paperweir.llm import bpe, knn, leakage, lookalike
 from paperweir.sources.tables import table
 
 
@@ -16,14 +17,38 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(pairs.a.alias("chunk_id_a"), pairs.b.alias("chunk_id_b"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks, and of papers, whose texts look the same but differ in their characters."""
+    chunks = lookalike.lookalikes(table(spark, d, "chunks"), "chunk_uid", "text")
+    papers = lookalike.lookalikes(table(spark, d, "papers"), "paper_id", "abstract")
+    return chunks.select(F.lit("chunks.text").alias("field_name"), "key_a", "key_b").unionByName(papers.select(F.lit("papers.abstract").alias("field_name"), "key_a", "key_b"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode_documents(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the held-out items whose wording they contain."""
+    return p7_spans(spark, d).select("doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """As p7_found, with the place of the first shared run in the document."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    return found.select(F.col("k").alias("doc_id"), F.col("item").alias("item_id"), "start_char", "end_char")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"p3_found": p3_found, "p6_ids": p6_ids}
+    return {
+        "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p6_ids": p6_ids,
+        "p7_found": p7_found,
+        "p7_spans": p7_spans,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
