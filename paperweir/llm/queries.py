@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.llm import bpe, knn, leakage, lookalike
+from paperweir.llm import bpe, knn, leakage, lookalike, sentences
 from paperweir.sources.tables import table
 
 
@@ -40,6 +40,11 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("k").alias("doc_id"), F.col("item").alias("item_id"), "start_char", "end_char")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the sentences of every document."""
+    return sentences.split_sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
     return {
@@ -48,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_spans": p7_spans,
+        "p8_found": p8_found,
     }
 
 
