@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweir.llm import bpe, knn, leakage, lookalike, sentences
+from paperweir.llm import bpe, knn, leakage, lookalike, pairs, sentences
 from paperweir.sources.tables import table
 
 
@@ -24,6 +24,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select(F.lit("chunks.text").alias("field_name"), "key_a", "key_b").unionByName(papers.select(F.lit("papers.abstract").alias("field_name"), "key_a", "key_b"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Eval items with a broken answer and the sort of its defect, the first that the rules name."""
+    found = p5_defects(spark, d).groupBy("query_id").agg(F.min_by("defect", "place").alias("defect"))
+    return found.select("query_id", "defect")
+
+
+def p5_defects(spark: SparkSession, d: str) -> DataFrame:
+    """As p5_found, with every defect that the rules name, in their order."""
+    return pairs.pair_defects(table(spark, d, "eval_set"), "query_id", "query", "reference_answer").withColumnRenamed("key", "query_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode_documents(table(spark, d, "documents"))
@@ -50,6 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p5_found": p5_found,
+        "p5_defects": p5_defects,
         "p6_ids": p6_ids,
         "p7_found": p7_found,
         "p7_spans": p7_spans,
