@@ -26,8 +26,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Eval items with a broken answer and the sort of its defect, the first that the rules name."""
-    found = p5_defects(spark, d).groupBy("query_id").agg(F.min_by("defect", "place").alias("defect"))
-    return found.select("query_id", "defect")
+    return p5_defects(spark, d).where("place = 1").select("query_id", "defect")
 
 
 def p5_defects(spark: SparkSession, d: str) -> DataFrame:
