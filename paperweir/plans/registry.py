@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperweir.plans import corpus
+
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (corpus,)
 
 
 def queries() -> dict[str, Query]:
     """Name to query."""
-    return {}
+    return {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return {name: q for part in _PARTS for name, q in part.SQL.items()}
