@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperweir.plans import corpus
+from paperweir.plans import corpus, search, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (corpus,)
+_PARTS = (corpus, texts, search)
 
 
 def queries() -> dict[str, Query]:
