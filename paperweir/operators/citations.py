@@ -25,7 +25,7 @@ def citation_texts(answer: Column | str) -> Column:
 def malformed(answer: Column | str) -> Column:
     """What looks like a citation but isn't one, in order, then marks for doubled brackets."""
     text = col(answer)
-    odd = F.filter(F.regexp_extract_all(text, F.lit(LIKE_CITATION), F.lit(0)), lambda x: ~x.rlike(CITATION + r"\z"))
+    odd = F.filter(F.regexp_extract_all(text, F.lit(LIKE_CITATION), F.lit(0)), lambda x: ~x.rlike(CITATION.replace("(?i)", "(?i)^", 1) + r"\z"))
     double = F.when(text.rlike(r"(?i)\[\[arXiv:"), F.array(F.lit("[[arXiv:"))).otherwise(F.array().cast("array<string>"))
     after = F.when(text.rlike(r"(?i)arXiv:[^\]]*\]\]"), F.array(F.lit("arXiv:...]]"))).otherwise(F.array().cast("array<string>"))
     return F.concat(odd, double, after)
