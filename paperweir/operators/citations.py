@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweir.functions.ids import base_id, is_base_id
-from paperweir.functions.text import WS, col, normalize_space, overlap_words, snippet_words
+from paperweir.functions.text import col, normalize_space, overlap_words, snippet_words
 
 # The form of a citation, of what looks like one, and of a quote behind one.
 PAPER = r"\d{4}\.\d{4,5}(?:v\d+)?|[a-z-]+(?:\.[A-Z]{2})?/\d{7}(?:v\d+)?"
@@ -176,4 +176,4 @@ def map_chunk_citations(answer: Column | str, labels: Column | str) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.when(F.get(numbers, i).try_cast("int") >= 1, label(i)), F.get(marks, i), F.lit("")))), "")
 
 
-__all__ = ["WS", "citation_texts", "locate", "malformed", "map_chunk_citations", "needs_repair", "paragraphs", "parse_error", "parsed", "remap", "rewrite", "sentence_map", "sentence_snippet", "verify"]
+

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweir.functions import json_text, text
-from paperweir.operators import citations, providers
+from paperweir.operators import citations, prompting, providers
 from paperweir.plans import base
 from paperweir.sources.tables import table
 
@@ -114,8 +114,7 @@ def selection_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """Digest and length of the prompt of every answer's context."""
-    block = F.concat(F.lit("["), F.col("rank"), F.lit("] [arXiv:"), F.col("paper_id"), F.lit(" p."), F.col("page_number"), F.lit("]\n"), F.col("text"))
-    lists = _context(spark, d).withColumn("block", block).groupBy("answer_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda s: s["block"]), "\n\n").alias("prompt"))
+    lists = prompting.format_chunks(prompting.valid_context(_context(spark, d)), "answer_id").withColumnRenamed("chunks", "prompt")
     return lists.select("answer_id", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").alias("n_chars"))
 
 
@@ -182,7 +181,7 @@ SQL = {
     "chunk_citation_map": f"""WITH {CONTEXT}, l AS (SELECT answer_id, list('[arXiv:' || paper_id || ' p.' || page_number || ']' ORDER BY rank) AS ls FROM ctx GROUP BY 1)
       SELECT answer_id, 'First ' || ls[1] || ', then ' || coalesce(ls[2], '[Chunk:2]') || ' and ' || coalesce(ls[99], '[chunk:99]') || '; page ' || len(ls) AS mapped FROM l""",
     "answer_keys": f"WITH {CONTEXT} SELECT answer_id, sha256(string_agg(chunk_uid, chr(10) ORDER BY rank)) AS chunk_uids_hash FROM ctx GROUP BY 1",
-    "prompts": f"""WITH {CONTEXT}, p AS (SELECT answer_id, string_agg('[' || rank || '] [arXiv:' || paper_id || ' p.' || page_number || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS prompt FROM ctx GROUP BY 1)
+    "prompts": f"""WITH {CONTEXT}, p AS (SELECT answer_id, string_agg('Chunk ' || rank || ': [arXiv:' || paper_id || ' p.' || page_number || '] (chunk_uid=' || chunk_uid || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS prompt FROM ctx GROUP BY 1)
       SELECT answer_id, sha256(prompt) AS prompt_sha256, length(prompt) AS n_chars FROM p""",
     "selection_parse": f"""WITH {base.SQL_CHUNKS}, s AS (SELECT chunk_id, CASE chunk_id % 3 WHEN 0 THEN [page_number, chunk_index, 1] WHEN 1 THEN [page_number] ELSE [page_number, chunk_index, token_count] END AS xs FROM uchunks),
       i AS (SELECT chunk_id, x, min(k) AS k FROM (SELECT chunk_id, unnest(xs) AS x, unnest(range(len(xs))) AS k FROM s) WHERE x BETWEEN 1 AND 10 GROUP BY ALL), r AS (SELECT uchunks.chunk_id, coalesce(list(x ORDER BY k) FILTER (x IS NOT NULL), []) AS xs FROM uchunks LEFT JOIN i ON uchunks.chunk_id = i.chunk_id GROUP BY 1)
