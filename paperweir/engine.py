@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from paperweir import schemas
 from paperweir.operators import answering, chunking, citations, evalgen, evaluation, fulltext, fusion, providers, store, vectors
+from paperweir.session import cut
 from paperweir.sources import files
 
 MODES = ("fts", "vector", "hybrid")
@@ -173,10 +174,10 @@ class Engine:
 
     def answer(self, results: DataFrame, k: int = 5, rerank: bool = True, config: answering.AnswerConfig = answering.AnswerConfig()) -> DataFrame:
         """Answers to the questions of search results; contexts that were answered before come from the cache."""
-        ctx = fusion.generation_context(results, k, rerank).select("query_id", "query", F.col("new_rank").alias("rank"), "chunk_uid", "paper_id", "page_number", "text")
+        ctx = cut(fusion.generation_context(results, k, rerank).select("query_id", "query", F.col("new_rank").alias("rank"), "chunk_uid", "paper_id", "page_number", "text"), "context")
         keyed = ctx.select("query_id", "query").distinct().join(providers.answer_key(ctx), "query_id").withColumn("version", config.version())
         cache = self.table("answer_cache").where(F.col("generation_model") == self.model).select(F.col("query_text").alias("query"), F.col("prompt_version").alias("version"), "chunk_uids_hash", F.col("answer_text").alias("cached"))
-        hits = store.cached(keyed, cache, ["query", "version", "chunk_uids_hash"])
+        hits = cut(store.cached(keyed, cache, ["query", "version", "chunk_uids_hash"]), "hits")
         todo = hits.where("not hit")
         got = answering.generate_answers(todo.select("query_id", "query"), ctx.join(todo.select("query_id"), "query_id", "left_semi"), self.generator, config)
         new = todo.join(got, "query_id").where(F.col("answer").isNotNull())
@@ -206,7 +207,7 @@ class Engine:
     def evaluate(self, items: DataFrame, config: SearchConfig = SearchConfig("hybrid", 10), answers: bool = False, generation_k: int = 5, rerank: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(per item, summary, failures) of an eval set (`query_id, query, ground_truth`), with answers if asked."""
         rows = items.withColumn("truth", F.col("ground_truth.chunk_uids"))
-        results, _ = self.search(rows.select("query_id", "query"), config)
+        results = cut(self.search(rows.select("query_id", "query"), config)[0], "results")
         per = evaluation.retrieval_metrics(results, rows)
         if answers:
             said = self.answer(results, min(generation_k, config.top_k), rerank)

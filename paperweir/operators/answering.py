@@ -60,14 +60,14 @@ def generate_answers(questions: DataFrame, context: DataFrame, factory: Callable
     repair is made from the first answer, whatever the attempt.
     """
     q = questions.select("query_id", "query")
-    ctx = prompting.valid_context(context)
+    ctx = cut(prompting.valid_context(context), "context")
     if config.select_evidence:
         p = prompting.format_chunks(ctx).join(q, "query_id")
         said = _ask(p.withColumn("prompt", prompting.render(read_prompt("select_evidence"), chunks="chunks", query="query", max_chunks=F.lit(str(config.select_k)))), factory, config)
         most = ctx.groupBy("query_id").agg(F.max("rank").alias("most"))
         chosen = said.join(most, "query_id").select("query_id", F.explode(evidence(F.filter(selection_indices(F.coalesce("answer", F.lit("")), 10_000), lambda i: i <= F.col("most")), config.select_k)).alias("rank"))
-        ctx = ctx.join(chosen, ["query_id", "rank"], "left_semi")
-    p = prompting.format_chunks(ctx).join(q, "query_id")
+        ctx = cut(ctx.join(chosen, ["query_id", "rank"], "left_semi"), "context")
+    p = cut(prompting.format_chunks(ctx).join(q, "query_id"), "prompts")
     template = read_prompt("cite_chunks" if config.cite_chunks else "generate")
     prompt = prompting.render(template, chunks="chunks")
     if config.quote_first:
@@ -82,7 +82,7 @@ def generate_answers(questions: DataFrame, context: DataFrame, factory: Callable
     def finished(rows: DataFrame) -> DataFrame:
         if config.cite_chunks:
             rows = rows.join(labels, "query_id", "left").select("query_id", F.coalesce(citations.map_chunk_citations("answer", "labels"), "answer").alias("answer"), "error")
-        return remapped(rows.select("query_id", "answer", "error"), ctx)
+        return cut(remapped(rows.select("query_id", "answer", "error"), ctx), "answers")
 
     done = finished(got)
     if config.repair:
@@ -92,5 +92,5 @@ def generate_answers(questions: DataFrame, context: DataFrame, factory: Callable
             again = first.join(broken.select("query_id"), "query_id", "left_semi").join(p.select("query_id", "query", "chunks"), "query_id")
             asked = _ask(again.withColumn("prompt", prompting.render(read_prompt("repair"), chunks="chunks", query="query", answer="answer")), factory, config)
             mended = finished(asked).where("answer is not null")
-            done = done.join(mended.select("query_id"), "query_id", "left_anti").unionByName(mended)
+            done = cut(done.join(mended.select("query_id"), "query_id", "left_anti").unionByName(mended), "answers")
     return done.select("query_id", "answer", "error")

@@ -55,7 +55,7 @@ class FirstChunk:
     """A stand-in: answers with the first passage of the prompt that is cited there."""
 
     def generate(self, prompt: str, query: str) -> str:
-        m = re.search(r"\[arXiv:[^\]]+\]", prompt)
+        m = re.search(r"\[arXiv:\S+ p\.\d+\]", prompt)
         if not m:
             return "I do not know."
         words = prompt[m.end() :].split()[:8]
