@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def folded(text: str) -> str:
 @pandas_udf(StringType())
 def _folded(col):
     known = {t: folded(t) for t in col.dropna().unique()}
-    return col.map(known)
+    return pd.Series([known[t] if isinstance(t, str) else None for t in col], dtype=object)
 
 
 def normal_form(text: Column | str) -> Column:
