@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweir.functions.text import QUERY_STOPWORDS, index_tokens, query_tokens
+from paperweir.session import cut
 
 IMPORTANT_LENGTH, MAX_REQUIRED = 6, 4
 K1, B = 1.2, 0.75
@@ -82,51 +83,69 @@ def phrase_frequencies(docs: DataFrame, doc: str, phrases: DataFrame, text: str
 
 
 def _weighted(docs: DataFrame, doc: str, wanted: DataFrame, text: str) -> DataFrame:
+    """`phrase, doc, df, score`: what each phrase, now its tokens with blanks between, adds to a document's score."""
     tf = phrase_frequencies(docs, doc, wanted, text)
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(docs, text))
+    stats = F.broadcast(corpus_stats(docs, text))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     f, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     weight = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
     score = -weight * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return tf.join(df, "phrase").join(stats).select("phrase", doc, "df", score.alias("score"))
+    return tf.join(df, "phrase").join(stats).select(F.array_join("phrase", " ").alias("phrase"), doc, "df", score.alias("score"))
 
 
 def bm25_topk(questions: DataFrame, docs: DataFrame, k: int, key: str = "query_id", query: str = "query", doc: str = "chunk_id", text: str = "text") -> DataFrame:
     """The k best documents of every question by BM25: `key, rank, doc, score, mode`; lower scores are better.
 
-    `mode` is strict where the compiled query has hits, else relaxed (any term). Scores equal
-    to nine places go to the smaller `doc`.
-    Candidates of a strict query are the documents of its rarest required phrase, so frequent terms are only
-    counted where that occurs.
+    `mode` is strict where the compiled query has hits, else relaxed (any term). Scores equal to nine places
+    go to the smaller `doc`. Null questions have no results, nor have those without terms.
+
+    Frequent terms are not followed through the corpus. Candidates of a strict query are the documents of its
+    rarest required phrase. A relaxed one knows from its phrases' k-th best scores what a result must reach at
+    least; phrases that together cannot reach that bring no candidates. What the others give to the k-th best
+    document raises that bound, and a document that cannot reach it with all phrases is dropped before it is
+    scored. The result is exact.
     """
     if k <= 0:
         raise ValueError("top_k must be > 0")
     compiled = compile_queries(questions.where(F.col(query).isNotNull()), key, query)
-    named = _phrases(compiled, key)
-    scored = _weighted(docs, doc, named, text)
+    arrays = _phrases(compiled, key)
+    scored = cut(_weighted(docs, doc, arrays, text), "scores")
+    named = cut(arrays.withColumn("phrase", F.array_join("phrase", " ")), "phrases")
+    by_score = Window.partitionBy("phrase").orderBy("score")
+    kth = scored.withColumn("i", F.row_number().over(by_score)).where(F.col("i") <= k).groupBy("phrase").agg(F.min("score").alias("best"), F.max(F.when(F.col("i") == k, F.col("score"))).alias("kth"), F.first("df").alias("df"))
     # strict
     required = named.where("role = 'required'")
-    rare = scored.select("phrase", "df").distinct()
-    w = Window.partitionBy(key).orderBy("df", F.array_join("phrase", " "))
+    w = Window.partitionBy(key).orderBy("df", "phrase")
     need = required.groupBy(key).agg(F.count("*").alias("n_required"))
     has_optional = named.where("role = 'optional'").select(key).distinct().withColumn("has_optional", F.lit(True))
-    lead = required.join(rare, "phrase").withColumn("i", F.row_number().over(w)).where("i = 1").select(key, "phrase")
-    only_optional = named.join(need, key, "left_anti").select(key, "phrase").distinct()
-    candidates = lead.unionByName(only_optional).join(scored.select("phrase", doc), "phrase").select(key, doc).distinct()
+    occurring = required.join(kth, "phrase").withColumn("i", F.row_number().over(w)).withColumn("have", F.count("*").over(Window.partitionBy(key)))
+    lead = occurring.join(need, key).where("i = 1 and have = n_required").select(key, "phrase")  # each required phrase occurs somewhere
+    candidates = lead.join(scored.select("phrase", doc), "phrase").select(key, doc)
     hits = candidates.join(named, key).join(scored.select("phrase", doc, "score"), ["phrase", doc])
-    strict = (
+    found = (
         hits.groupBy(key, doc)
         .agg(F.sum(F.col("mult") * F.col("score")).alias("score"), F.count_if(F.col("role") == "required").alias("got"), F.count_if(F.col("role") == "optional").alias("opt"))
-        .join(need, key, "left")
+        .join(need, key)
         .join(has_optional, key, "left")
-        .where((F.col("got") == F.coalesce("n_required", F.lit(0))) & ((F.col("opt") > 0) | F.col("has_optional").isNull()))
-        .select(key, doc, "score", F.lit("strict").alias("mode"))
+        .where((F.col("got") == F.col("n_required")) & ((F.col("opt") > 0) | F.col("has_optional").isNull()))
     )
     ordered = Window.partitionBy(key).orderBy(F.round("score", 9), doc)
-    strict = strict.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
-    # relaxed
-    rest = named.join(strict.select(key).distinct(), key, "left_anti").groupBy(key, "phrase").agg(F.sum("mult").alias("mult"))
-    relaxed = rest.join(scored.select("phrase", doc, "score"), "phrase").groupBy(key, doc).agg(F.sum(F.col("mult") * F.col("score")).alias("score")).select(key, doc, "score", F.lit("relaxed").alias("mode"))
-    relaxed = relaxed.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
-    return strict.unionByName(relaxed).select(key, "rank", doc, "score", "mode")
+    strict = cut(found.select(key, doc, "score").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k), "strict")
+    # any term: relaxed queries, and those that name no long one, for which this is the strict query
+    loose = named.join(strict.select(key).distinct(), key, "left_anti").groupBy(key, "phrase").agg(F.sum("mult").alias("mult"))
+    bounds = loose.join(kth, "phrase").withColumn("top", -F.col("mult") * F.col("best"))
+    upto = Window.partitionBy(key).orderBy("top", "phrase").rowsBetween(Window.unboundedPreceding, 0)
+    each = Window.partitionBy(key)
+    bounds = bounds.withColumn("reach", F.sum("top").over(upto)).withColumn("least", F.coalesce(F.max(-F.col("mult") * F.col("kth")).over(each), F.lit(0.0)) - 1e-8)
+    bounds = bounds.withColumn("leads", F.col("reach") >= F.col("least")).withColumn("others", F.coalesce(F.sum(F.when(~F.col("leads"), F.col("top"))).over(each), F.lit(0.0)))
+    part = bounds.where("leads").select(key, "phrase", "mult", "least", "others").join(scored.select("phrase", doc, "score"), "phrase")
+    partial = cut(part.groupBy(key, doc).agg(F.sum(F.col("mult") * F.col("score")).alias("score"), F.first("least").alias("least"), F.first("others").alias("others")), "partial")
+    enough = partial.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("score"))).where(F.col("i") <= k).groupBy(key).agg(F.max(F.when(F.col("i") == k, -F.col("score"))).alias("reached"))
+    able = partial.join(enough, key).where(F.col("others") - F.col("score") >= F.greatest("least", F.col("reached") - 1e-8)).select(key, doc, "score")
+    rest = able.select(key, doc).join(bounds.where("not leads").select(key, "phrase", "mult"), key).join(scored.select("phrase", doc, F.col("score").alias("s")), ["phrase", doc]).select(key, doc, (F.col("mult") * F.col("s")).alias("score"))
+    total = able.unionByName(rest).groupBy(key, doc).agg(F.sum("score").alias("score"))
+    relaxed = total.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select(key, "rank", doc, "score")
+    mode = F.when(F.col("n_required").isNull(), "strict").otherwise("relaxed")
+    relaxed = relaxed.join(need, key, "left").select(key, "rank", doc, "score", mode.alias("mode"))
+    return strict.select(key, "rank", doc, "score", F.lit("strict").alias("mode")).unionByName(relaxed)
