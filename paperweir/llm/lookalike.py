@@ -23,6 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from paperweir.llm.runs import binary
+from paperweir.session import cut
 
 # Letters of other scripts that have the shape of a Latin letter, and that letter.
 SAME_SHAPE = dict(
@@ -121,6 +122,7 @@ def lookalikes(df: DataFrame, key: str, text: str, salt_rows: int = 20_000) -> D
     """
     rows = df.select(F.col(key).cast("string"), F.col(text).cast("string")).dropna()
     rows = rows.mapInArrow(lambda b: _digests(b, ["key", "look", "text"]), "key string, look binary, text binary").distinct()
+    rows = cut(rows, "looks")  # read four times below; normalised once
     variants = rows.groupBy("look", "text").agg(F.count("*").alias("n"))
     several = variants.groupBy("look").agg(F.count("*").alias("texts")).where("texts > 1").select("look")
     of_several = variants.join(several, "look", "left_semi")
