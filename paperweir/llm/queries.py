@@ -69,6 +69,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# Words are runs of letters and digits, in lower case, after hyphens at line ends; runs of 13 words, or of all of a shorter item.
+P7_SQL = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(item_text, '[-\x{2010}\x{AD}]\r?\n', '', 'g')), '[\p{L}\p{N}]+') AS w FROM heldout_items WHERE item_text IS NOT NULL),
+isz AS (SELECT item_id, w, least(13, len(w)) AS n FROM iw WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM isz)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[-\x{2010}\x{AD}]\r?\n', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) AS k FROM dw, (SELECT DISTINCT n FROM isz)))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.n = ig.n AND dg.g = ig.g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Name to DuckDB SQL. The llm operators are tested against brute force instead."""
-    return {}
+    """Name to DuckDB SQL. The other llm operators are tested against brute force or public encoders instead."""
+    return {"p7_found": P7_SQL}
