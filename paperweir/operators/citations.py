@@ -98,22 +98,55 @@ def locate(citations: DataFrame, pages: DataFrame, key: str = "answer_id") -> Da
     return joined.select(*citations.columns, F.col("page_text").isNotNull().alias("has_page"), start.alias("quote_start"), (start + F.length("quote")).alias("quote_end"))
 
 
-def verify(answers: DataFrame, papers: DataFrame, pages: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
+def validate(citations: DataFrame, papers: DataFrame, key: str = "answer_id") -> DataFrame:
+    """`key, citation_id, code` of what is wrong with single citations, each code once.
+
+    invalid_paper_id stops there; unknown_paper_id and missing_page_count may both hold, page_out_of_range needs a page
+    below 1 or above the paper's. `papers` has `paper_id, total_pages`; identifiers are compared in lower case.
+    """
+    known = papers.groupBy(F.lower("paper_id").alias("p")).agg(F.max("total_pages").alias("last"), F.lit(True).alias("known"))
+    c = citations.join(known, F.lower("paper_id") == F.col("p"), "left")
+    valid = F.coalesce(is_base_id("paper_id"), F.lit(False))
+    outside = (F.col("page_number") < 1) | (F.col("page_number") > F.col("last"))
+    codes = F.when(~valid, F.array(F.lit("invalid_paper_id"))).otherwise(F.array_compact(F.array(F.when(F.col("known").isNull(), "unknown_paper_id"), F.when(F.col("last").isNull(), "missing_page_count"), F.when(F.coalesce(outside, F.lit(False)), "page_out_of_range"))))
+    return c.select(key, "citation_id", F.explode(codes).alias("code"))
+
+
+def verify(answers: DataFrame, papers: DataFrame, pages: DataFrame, key: str = "answer_id", answer: str = "answer", known_pages: DataFrame | None = None, broken_files: DataFrame | None = None) -> DataFrame:
     """`key, status, codes`: pass, or fail with the sorted codes of what is wrong.
 
     Malformed citations stop the check, then citations of papers or pages that are not known; otherwise missing
     quotes, missing page texts, quotes that are not on their page and paragraphs without a citation all count.
-    `papers` has `paper_id`; `pages` has `paper_id, page_number, text`. Blank answers pass.
+    `papers` has `paper_id`; `pages` has `paper_id, page_number, text`; `known_pages` (`paper_id, page_number`) are the
+    pages that may be cited, those of `pages` if None; a known page without text is missing_parsed_file where its
+    paper has none at all, invalid_parsed_json where `broken_files` (`paper_id`) names it, else missing_page_text.
+    Blank answers pass.
     """
     flagged = answers.select(key, F.col(answer).alias("answer"), F.coalesce(parse_error(answer), F.lit(False)).alias("broken"))
     cites = parsed(flagged.where(~F.col("broken")), key, "answer")
     known = papers.select(F.lower("paper_id").alias("p")).distinct().withColumn("known", F.lit(True))
     at = locate(cites, pages, key).join(known, F.lower("paper_id") == F.col("p"), "left")
-    unresolved = at.groupBy(key).agg(F.bool_or(F.col("known").isNull() | ~F.col("has_page")).alias("unresolved"), F.bool_or(F.col("quote").isNull()).alias("unquoted"), F.bool_or(F.col("quote").isNotNull() & F.col("has_page") & F.col("quote_start").isNull()).alias("lost"))
+    if known_pages is None:
+        at = at.withColumn("citable", F.col("has_page")).withColumn("gap", F.lit(None).cast("string"))
+    else:
+        may = known_pages.select(F.lower("paper_id").alias("kp"), F.col("page_number").alias("kg")).distinct().withColumn("may", F.lit(True))
+        some = pages.select(F.lower("paper_id").alias("sp")).distinct().withColumn("some", F.lit(True))
+        bad = (broken_files if broken_files is not None else papers.limit(0)).select(F.lower("paper_id").alias("bp")).distinct().withColumn("bad", F.lit(True))
+        low = F.lower("paper_id")
+        at = at.join(may, (low == F.col("kp")) & (F.col("page_number") == F.col("kg")), "left").join(some, low == F.col("sp"), "left").join(bad, low == F.col("bp"), "left")
+        gap = F.when(F.col("has_page"), None).when(F.col("bad"), "invalid_parsed_json").when(F.col("some").isNull(), "missing_parsed_file").otherwise("missing_page_text")
+        at = at.withColumn("citable", F.col("may").isNotNull()).withColumn("gap", gap)
+    per = at.groupBy(key).agg(
+        F.bool_or(F.col("known").isNull() | ~F.col("citable")).alias("unresolved"),
+        F.bool_or(F.col("quote").isNull()).alias("unquoted"),
+        F.bool_or(F.col("quote").isNotNull() & F.col("has_page") & F.col("quote_start").isNull()).alias("lost"),
+        F.collect_set("gap").alias("gaps"),
+    )
     bare = paragraphs(flagged.where(~F.col("broken")), key, "answer").groupBy(key).agg(F.bool_or(F.col("n_citations") == 0).alias("bare"))
-    rows = flagged.join(unresolved, key, "left").join(bare, key, "left")
+    rows = flagged.join(per, key, "left").join(bare, key, "left")
     off = lambda c: F.coalesce(F.col(c), F.lit(False))
     later = F.array_compact(F.array(F.when(off("bare"), "missing_paragraph_citation"), F.when(off("unquoted"), "missing_quote"), F.when(off("lost"), "quote_not_found")))
+    later = F.array_sort(F.concat(later, F.coalesce("gaps", F.array().cast("array<string>"))))
     codes = F.when(F.col("broken"), F.array(F.lit("malformed_citation"))).when(off("unresolved"), F.array(F.lit("unresolved_citation"))).otherwise(later)
     return rows.select(key, F.when(F.size(codes) == 0, "pass").otherwise("fail").alias("status"), codes.alias("codes"))
 

@@ -67,26 +67,46 @@ def _phrases(compiled: DataFrame, key: str) -> DataFrame:
     return each.select(key, "role", index_tokens("t").alias("phrase")).where(F.size("phrase") > 0).groupBy(key, "role", "phrase").agg(F.count("*").alias("mult"))
 
 
-def phrase_frequencies(docs: DataFrame, doc: str, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """`phrase, doc, tf, dl` of every document that holds one of the distinct `phrases`.
+def index_tables(docs: DataFrame, doc: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(places, lengths) to store: `term, doc, pos` and `doc, dl` of every document.
+
+    Stored by `term` (partitioned or bucketed), places answer questions without reading texts; see `refresh`.
+    """
+    rows = docs.select(doc, index_tokens(text).alias("ts"))
+    places = rows.select(F.posexplode("ts").alias("pos", "term"), doc).select("term", doc, "pos")
+    return places, rows.select(doc, F.greatest(F.coalesce(F.size("ts"), F.lit(0)), F.lit(0)).alias("dl"))
+
+
+def refresh(index: tuple[DataFrame, DataFrame], changed: DataFrame, doc: str, gone: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The index after documents were inserted or updated (`changed`) and deleted (`gone`, with `doc`): only they are read."""
+    ids = changed.select(doc) if gone is None else changed.select(doc).unionByName(gone.select(doc))
+    new = index_tables(changed, doc, text)
+    return tuple(old.join(ids.distinct(), doc, "left_anti").select(*fresh.columns).unionByName(fresh) for old, fresh in zip(index, new))
+
+
+def phrase_frequencies(docs: DataFrame, doc: str, phrases: DataFrame, text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """`phrase, doc, tf, dl` of every document that holds one of the distinct `phrases`, from texts or a stored index.
 
     `phrases` are those of the questions, not of the corpus; their tokens meet the corpus' tokens in a join that
     Spark broadcasts while they are few, and that prunes tokens before they are counted.
     """
     wanted = phrases.select("phrase").distinct()
     parts = wanted.select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term"))
-    rows = docs.select(doc, index_tokens(text).alias("ts")).withColumn("dl", F.size("ts"))
-    places = rows.select(doc, "dl", F.posexplode("ts").alias("pos", "term")).join(parts, "term")
+    if index is None:
+        rows = docs.select(doc, index_tokens(text).alias("ts")).withColumn("dl", F.size("ts"))
+        places = rows.select(doc, "dl", F.posexplode("ts").alias("pos", "term")).join(parts, "term")
+    else:
+        places = index[0].join(parts, "term").join(index[1], doc)
     single = places.where("n = 1").groupBy("phrase", doc, "dl").agg(F.count("*").alias("tf"))
     run = places.where("n > 1").groupBy("phrase", doc, "dl", "n", (F.col("pos") - F.col("offset")).alias("at")).agg(F.countDistinct("offset").alias("have")).where("have = n")
     return single.unionByName(run.groupBy("phrase", doc, "dl").agg(F.count("*").alias("tf")))
 
 
-def _weighted(docs: DataFrame, doc: str, wanted: DataFrame, text: str) -> DataFrame:
+def _weighted(docs: DataFrame | None, doc: str, wanted: DataFrame, text: str, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """`phrase, doc, df, score`: what each phrase, now its tokens with blanks between, adds to a document's score."""
-    tf = phrase_frequencies(docs, doc, wanted, text)
+    tf = phrase_frequencies(docs, doc, wanted, text, index)
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(docs, text))  # one row
+    stats = F.broadcast(corpus_stats(docs, text) if index is None else index[1].agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     f, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     weight = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
@@ -94,11 +114,12 @@ def _weighted(docs: DataFrame, doc: str, wanted: DataFrame, text: str) -> DataFr
     return tf.join(df, "phrase").join(stats).select(F.array_join("phrase", " ").alias("phrase"), doc, "df", score.alias("score"))
 
 
-def bm25_topk(questions: DataFrame, docs: DataFrame, k: int, key: str = "query_id", query: str = "query", doc: str = "chunk_id", text: str = "text") -> DataFrame:
+def bm25_topk(questions: DataFrame, docs: DataFrame | None, k: int, key: str = "query_id", query: str = "query", doc: str = "chunk_id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The k best documents of every question by BM25: `key, rank, doc, score, mode`; lower scores are better.
 
     `mode` is strict where the compiled query has hits, else relaxed (any term). Scores equal to nine places
-    go to the smaller `doc`. Null questions have no results, nor have those without terms.
+    go to the smaller `doc`. Null questions have no results, nor have those without terms. With an `index` (see
+    `index_tables`) no texts are read.
 
     Frequent terms are not followed through the corpus. Candidates of a strict query are the documents of its
     rarest required phrase. A relaxed one knows from its phrases' k-th best scores what a result must reach at
@@ -110,7 +131,7 @@ def bm25_topk(questions: DataFrame, docs: DataFrame, k: int, key: str = "query_i
         raise ValueError("top_k must be > 0")
     compiled = compile_queries(questions.where(F.col(query).isNotNull()), key, query)
     arrays = _phrases(compiled, key)
-    scored = cut(_weighted(docs, doc, arrays, text), "scores")
+    scored = cut(_weighted(docs, doc, arrays, text, index), "scores")
     named = cut(arrays.withColumn("phrase", F.array_join("phrase", " ")), "phrases")
     by_score = Window.partitionBy("phrase").orderBy("score")
     kth = scored.withColumn("i", F.row_number().over(by_score)).where(F.col("i") <= k).groupBy("phrase").agg(F.min("score").alias("best"), F.max(F.when(F.col("i") == k, F.col("score"))).alias("kth"), F.first("df").alias("df"))

@@ -82,6 +82,12 @@ def verify_report(spark: SparkSession, d: str) -> DataFrame:
     return citations.verify(_answers(spark, d), papers, _pages(spark, d)).withColumn("codes", F.array_join("codes", ","))
 
 
+def citation_validate(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with single citations, by the page counts of papers."""
+    papers = base.papers(spark, d).select("paper_id", "total_pages")
+    return citations.validate(citations.parsed(_answers(spark, d)), papers)
+
+
 def citation_remap(spark: SparkSession, d: str) -> DataFrame:
     """The chunk of the context that supports each citation best."""
     out = citations.remap(_answers(spark, d), _context(spark, d))
@@ -168,6 +174,10 @@ SQL = {
       st AS (SELECT fl.answer_id, CASE WHEN broken THEN 'malformed_citation' WHEN coalesce(unresolved, false) THEN 'unresolved_citation'
         ELSE array_to_string([x FOR x IN [CASE WHEN len([y FOR y IN {_PARTS} IF NOT regexp_matches(y, '{_C}')]) > 0 THEN 'missing_paragraph_citation' END, CASE WHEN unquoted THEN 'missing_quote' END, CASE WHEN lost THEN 'quote_not_found' END] IF x IS NOT NULL], ',') END AS codes FROM fl LEFT JOIN un ON fl.answer_id = un.answer_id)
       SELECT answer_id, CASE WHEN codes = '' THEN 'pass' ELSE 'fail' END AS status, codes FROM st""",
+    "citation_validate": f"""WITH {PARSED}, {base.SQL_PAPERS}, kn AS (SELECT lower(paper_id) AS p, max(total_pages) AS last FROM upapers GROUP BY 1),
+      c AS (SELECT par.*, kn.p AS known, last, regexp_full_match(paper_id, '\\d{{4}}\\.\\d{{4,5}}|(?i:[a-z-]+(?:\\.[A-Z]{{2}})?/\\d{{7}})') AS valid FROM par LEFT JOIN kn ON lower(par.paper_id) = kn.p)
+      SELECT answer_id, citation_id, 'invalid_paper_id' AS code FROM c WHERE NOT valid UNION ALL SELECT answer_id, citation_id, 'unknown_paper_id' FROM c WHERE valid AND known IS NULL
+      UNION ALL SELECT answer_id, citation_id, 'missing_page_count' FROM c WHERE valid AND last IS NULL UNION ALL SELECT answer_id, citation_id, 'page_out_of_range' FROM c WHERE valid AND (page_number < 1 OR page_number > last)""",
     "citation_remap": f"""WITH {PARSED}, {CONTEXT[len(base.SQL_CHUNKS) + 2:]},
       parts AS (SELECT par.*, a.answer, string_split_regex(a.answer, '{_C}') AS ps, regexp_extract_all(a.answer, '{_C}') AS ms FROM par JOIN ans a ON par.answer_id = a.answer_id WHERE NOT {_BROKEN.replace('answer', 'a.answer')}),
       bef AS (SELECT *, array_to_string([CASE WHEN k % 2 = 0 THEN ps[k // 2 + 1] ELSE ms[k // 2 + 1] END FOR k IN range(2 * n - 1)], '') AS b, array_to_string([CASE WHEN k % 2 = 0 THEN ps[n + 1 + k // 2] ELSE ms[n + 1 + k // 2] END FOR k IN range(2 * (len(ps) - n) - 1)], '') AS f FROM parts),
@@ -194,6 +204,7 @@ QUERIES = {
     "paragraph_coverage": paragraph_coverage,
     "sentence_map": sentence_map,
     "verify_report": verify_report,
+    "citation_validate": citation_validate,
     "citation_remap": citation_remap,
     "chunk_citation_map": chunk_citation_map,
     "answer_keys": answer_keys,

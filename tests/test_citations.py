@@ -54,6 +54,21 @@ def test_verify(spark, answers):
     assert (at.quote_start, at.quote_end) == (5, 20)
 
 
+def test_verify_gaps(spark, answers):
+    papers = spark.createDataFrame([("2311.12022", 4), ("cs.DS/0101001", None)], "paper_id string, total_pages int")
+    pages = spark.createDataFrame([("2311.12022", 1, "x")], "paper_id string, page_number int, text string")
+    known = spark.createDataFrame([("2311.12022", 3), ("cs.DS/0101001", 1)], "paper_id string, page_number int")
+    one = answers.where("answer_id in ('good', 'two')")
+    got = {r.answer_id: r.codes for r in C.verify(one, papers, pages, known_pages=known).collect()}
+    assert got == {"good": ["missing_page_text"], "two": ["missing_page_text", "missing_parsed_file", "missing_quote"]}
+    bad = papers.select("paper_id").limit(1)
+    got = {r.answer_id: r.codes for r in C.verify(one, papers, pages, known_pages=known, broken_files=bad).collect()}
+    assert got["good"] == ["invalid_parsed_json"]
+    rows = [("a", "c1", "bad id", 1), ("a", "c2", "2311.12022", 5), ("a", "c3", "CS.DS/0101001", 0), ("a", "c4", "2999.99999", 1), ("a", "c5", "2311.12022", 4)]
+    got = {(r.citation_id, r.code) for r in C.validate(spark.createDataFrame(rows, "answer_id string, citation_id string, paper_id string, page_number int"), papers).collect()}
+    assert got == {("c1", "invalid_paper_id"), ("c2", "page_out_of_range"), ("c3", "missing_page_count"), ("c3", "page_out_of_range"), ("c4", "unknown_paper_id"), ("c4", "missing_page_count")}
+
+
 def test_sentences(spark):
     df = spark.createDataFrame([("a", 'One [arXiv:2311.12022 p.1]. Two said "x." Then [arXiv:2311.12022 p.2] 3.5 is not an end. [arXiv:2311.12022 p.3] end')], "answer_id string, answer string")
     got = [(r.text, r.citations) for r in C.sentence_map(df).orderBy("sentence_index").collect()]

@@ -45,6 +45,15 @@ def test_bm25_equals_fts5(spark, docs, question, match, mode):
     assert {g[2] for g in got} == {mode}
 
 
+def test_stored_index(spark, docs):
+    old = docs.withColumn("text", F.when(F.col("chunk_id") == 1, "stale words").otherwise(F.col("text"))).unionByName(spark.createDataFrame([(99, "sediment")], docs.schema))
+    index = fulltext.refresh(fulltext.index_tables(old, "chunk_id"), docs.where("chunk_id = 1"), "chunk_id", spark.createDataFrame([(99,)], "chunk_id long"))
+    for question in ("sediment transport glacier", "river_model"):
+        q = spark.createDataFrame([("q", question)], "query_id string, query string")
+        got = [(r.chunk_id, round(r.score, 9), r.mode) for r in fulltext.bm25_topk(q, None, 10, index=index).orderBy("rank").collect()]
+        assert got == [(i, round(x, 9), m) for i, x, m in run(spark, docs, question)]
+
+
 def test_bm25_edges(spark, docs):
     assert run(spark, docs, "the of and") == []
     assert run(spark, docs, "?!") == []
