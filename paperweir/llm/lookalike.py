@@ -23,6 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from paperweir.llm.runs import binary
+from paperweir.operators.skew import salted_join
 from paperweir.session import cut
 
 # Letters of other scripts that have the shape of a Latin letter, and that letter.
@@ -133,7 +134,7 @@ def lookalikes(df: DataFrame, key: str, text: str, salt_rows: int = 20_000) -> D
     pairs = pairs.select("look", "ta", "tb", F.ceil(F.col("na") / salt_rows).alias("salts"))
     many = rows.select("look", F.col("text").alias("ta"), F.col("key").alias("x"))
     few = rows.select("look", F.col("text").alias("tb"), F.col("key").alias("y"))
-    left = many.join(pairs, ["look", "ta"]).withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
+    left = salted_join(many, pairs, ["look", "ta"]).withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
     right = few.join(pairs, ["look", "tb"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("look", "ta", "tb", "salt", "y")
     met = left.select("look", "ta", "tb", "salt", "x").join(right, ["look", "ta", "tb", "salt"]).where("x <> y")
     return met.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
