@@ -57,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--doc-id", action="append")
     x.add_argument("--limit", type=int)
     x.add_argument("--force-delete", action="store_true")
+    x.add_argument("--force", action="store_true", help="embed all chunks again")
+    x.add_argument("--rebuild", metavar="FOLDER", help="parse, chunk and index the PDFs of a folder")
     v = sub.add_parser("inspect")
     v.add_argument("--doc-id", action="append")
     c = sub.add_parser("check-ids")
@@ -116,7 +118,13 @@ def run(argv: list[str], engine: Engine | None = None) -> int:
             print(json.dumps(counts))
             return 1 if counts["failed"] else 0
         elif a.command == "index":
-            print(e.index(a.doc_id, a.limit, a.force_delete))
+            if a.rebuild and (a.doc_id or a.limit):
+                raise ValueError("--rebuild goes with neither --doc-id nor --limit")
+            if a.rebuild:
+                counts = e.ingest_folder(a.rebuild)
+                print(json.dumps(counts))
+                return 1 if counts["failed"] else 0
+            print(e.index(a.doc_id, a.limit, a.force_delete, a.force))
         elif a.command == "inspect":
             for r in e.vector_counts(a.doc_id).orderBy("doc_id").collect():
                 print(f"{r.doc_id}\t{r.n}")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from paperweir import schemas
 from paperweir.operators import answering, chunking, citations, evalgen, evaluation, fulltext, fusion, providers, store, vectors
 from paperweir.session import cut
-from paperweir.sources import files
+from paperweir.sources import files, remote
 
 MODES = ("fts", "vector", "hybrid")
 
@@ -108,8 +108,8 @@ class Engine:
         unknown = docs.join(papers.select("paper_id"), "paper_id", "left_anti").count()
         return {"documents": docs.count(), "failed": pages.where(F.col("error").isNotNull()).count(), "unknown_papers": unknown, "chunks": self.table("chunks").count()}
 
-    def index(self, doc_ids: list[str] | None = None, limit: int | None = None, force_delete: bool = False) -> int:
-        """Embeds chunks that have no vector under their uid and drops vectors whose chunks are gone.
+    def index(self, doc_ids: list[str] | None = None, limit: int | None = None, force_delete: bool = False, again: bool = False) -> int:
+        """Embeds chunks that have no vector under their uid (all of them if `again`) and drops vectors whose chunks are gone.
 
         With a limit nothing is dropped unless forced. Returns the number of chunks read.
         """
@@ -123,12 +123,39 @@ class Engine:
         if limit is not None:
             chunks = chunks.orderBy("chunk_id").limit(limit)
         kept = old.join(chunks.select("chunk_uid"), "chunk_uid", "left_semi").select("chunk_uid", "embedding")
+        kept = kept.limit(0) if again else kept
         todo = chunks.join(kept.select("chunk_uid"), "chunk_uid", "left_anti")
         made = providers.embed(todo, "chunk_uid", "text", self.embedder)
         new = schemas.conform(chunks.join(kept.unionByName(made), "chunk_uid"), schemas.VECTORS)
         self.write("vectors", store.reindex(old, new, asked, limit is None or force_delete))
         return chunks.count()
 
+    def ingest_folder(self, folder: str, extractor: files.Extractor = files.plain_extractor, config: chunking.ChunkConfig = chunking.ChunkConfig(), remove_headers: bool = False, only: list[str] | None = None) -> dict[str, int]:
+        """The newest PDF of each paper in a folder (of `only` these, if given), parsed, chunked and indexed: counts by stage.
+
+        Documents that were there before under the same hash are read again but not embedded again.
+        """
+        pdfs = files.pdf_files(self.spark, folder)
+        if only is not None:
+            pdfs = pdfs.join(self.spark.createDataFrame([(i,) for i in only], "paper_id string"), "paper_id", "left_semi")
+        pages = cut(files.extract_pages(pdfs, extractor), "pages")
+        parsed = files.parse_pages(pages, remove_headers).unionByName(pages.where(F.col("error").isNotNull()).withColumn("removed", F.lit(0)))
+        before = self.table("papers").select("paper_id", "doc_id")
+        counts = self.ingest(parsed, config)
+        now = pages.where(F.col("doc_id").isNotNull()).select("paper_id", "doc_id").distinct()
+        was = before.join(now.select("paper_id"), "paper_id", "left_semi").where(F.col("doc_id").isNotNull())
+        docs = [r[0] for r in now.select("doc_id").unionByName(was.select("doc_id")).distinct().toLocalIterator()]
+        return {**counts, "warnings": pages.where(F.col("warning").isNotNull()).select("doc_id").distinct().count(), "indexed": self.index(docs)}
+
+    def add_papers(self, ids: list[str], client: remote.PaperClient, get: Callable, fetch: remote.FetchConfig, **options) -> dict[str, int]:
+        """Fetches papers by identifier, with metadata, and ingests them: counts by stage; invalid identifiers are counted."""
+        good, bad = self.check_ids(ids)
+        outcome = remote.download(fetch, good, get)
+        self.upsert_known(remote.metadata(self.spark, client, good), fetch.folder)
+        got = [i for i in good if outcome[i] in ("exists", "fetched")]
+        counts = self.ingest_folder(fetch.folder, only=got, **options)
+        return {"requested": len(good) + len(bad), "invalid": len(bad), "unfetched": len(good) - len(got), **counts}
+
     def vector_counts(self, doc_ids: list[str] | None = None) -> DataFrame:
         """Vectors of each document, and in all."""
         docs = self.table("chunks") if doc_ids is None else self.spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")

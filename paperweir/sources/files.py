@@ -28,7 +28,7 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.pdf\z", "")
-    rows = files.withColumn("paper_id", base_id(stem)).where(is_base_id("paper_id"))
+    rows = files.withColumn("paper_id", base_id(F.regexp_replace(stem, r"^([A-Za-z.-]+)_(?=\d{7})", "$1/"))).where(is_base_id("paper_id"))
     newest = rows.groupBy("paper_id").agg(F.min_by("path", F.struct(-F.unix_micros("modificationTime"), "path")).alias("path"))
     return rows.join(newest, ["paper_id", "path"]).select("paper_id", "path", F.sha1("content").alias("doc_id"), "content")
 

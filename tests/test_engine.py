@@ -99,6 +99,38 @@ def test_versions(spark, tmp_path):
         e.index(limit=0)
 
 
+class Library:
+    def search(self, query, max_results, sort):
+        return []
+
+    def fetch(self, ids):
+        return [{"paper_id": i + "v1", "title": "T " + i} for i in ids if i != "2401.00009"]
+
+
+def test_add_papers(spark, tmp_path):
+    from paperweir.sources.remote import FetchConfig
+
+    class Body:
+        headers = {}
+
+        def __init__(self, text):
+            self.status, self.text = (200, text) if text else (404, "")
+
+        def parts(self):
+            yield self.text.encode()
+
+    bodies = {"2401.00001": "First page words.\fSecond page words.", "cs.DS/0101001": "Old style words.", "2401.00009": ""}
+    e = Engine(spark, str(tmp_path / "home"))
+    got = e.add_papers(["2401.00001v2", "cs.DS/0101001", "2401.00009", "nonsense"], Library(), lambda i: Body(bodies[i]), FetchConfig(str(tmp_path / "pdf")))
+    assert (got["requested"], got["invalid"], got["unfetched"], got["documents"], got["chunks"], got["indexed"], got["failed"]) == (4, 1, 1, 2, 3, 3, 0)
+    assert {(r.paper_id, r.title) for r in e.table("papers").collect()} == {("2401.00001", "T 2401.00001"), ("cs.DS/0101001", "T cs.DS/0101001")}
+    (tmp_path / "pdf" / "2401.00001.pdf").write_text("Changed words.")
+    again = e.ingest_folder(str(tmp_path / "pdf"))
+    assert again["chunks"] == 2 and e.table("vectors").count() == 2
+    assert cli.run([e.home, "index", "--rebuild", str(tmp_path / "pdf"), "--limit", "1"], e) == 1
+    assert cli.run([e.home, "index", "--force"], e) == 0
+
+
 def test_evaluation(spark, engine, tmp_path):
     made = Engine(spark, engine.home, generator=Questions)
     items = made.make_eval_set(2, min_chars=50)
