@@ -169,6 +169,10 @@ SQL = {
     "citation_malformed": f"WITH {ANSWERS} SELECT answer_id, len({_ODD}) + {_DOUBLE} AS n_malformed, {_BROKEN} OR len(regexp_extract_all(answer, '{_C}')) = 0 OR {_UNQUOTED} AS needs_repair FROM ans",
     "quote_locate": f"WITH {LOCATED} SELECT answer_id, citation_id, has_page, quote_start, quote_end FROM loc",
     "paragraph_coverage": f"WITH {ANSWERS}, x AS (SELECT answer_id, unnest({_PARTS}) AS part, unnest(range(len({_PARTS}))) AS paragraph_index FROM ans) SELECT answer_id, paragraph_index, sha1({text.sql_normalize('part')}) AS text_sha1, len(regexp_extract_all(part, '{_C}')) AS n_citations FROM x",
+    "sentence_map": f"""WITH {ANSWERS}, n AS (SELECT answer_id, {text.sql_normalize('answer')} AS t FROM ans), p AS (SELECT answer_id, string_split(regexp_replace(t, '([.!?]["''*]{{0,8}}) ([\\p{{Lu}}\\p{{Nd}}\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM n WHERE t <> ''),
+      s AS (SELECT answer_id, unnest(ps) AS text, unnest(range(len(ps))) AS sentence_index FROM p), k AS (SELECT *, len(regexp_extract_all(text, '{_C}')) AS k FROM s),
+      b AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY answer_id ORDER BY sentence_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k)
+      SELECT answer_id, sentence_index, text, array_to_string(['c' || i FOR i IN range(CAST(b + 1 AS BIGINT), CAST(b + k + 1 AS BIGINT))], ',') AS citations FROM b""",
     "verify_report": f"""WITH {LOCATED}, fl AS (SELECT answer_id, answer, {_BROKEN} AS broken FROM ans), known AS (SELECT DISTINCT lower(paper_id) AS p FROM papers),
       un AS (SELECT answer_id, bool_or(known.p IS NULL OR NOT has_page) AS unresolved, bool_or(quote IS NULL) AS unquoted, bool_or(quote IS NOT NULL AND has_page AND quote_start IS NULL) AS lost FROM loc LEFT JOIN known ON lower(loc.paper_id) = known.p GROUP BY 1),
       st AS (SELECT fl.answer_id, CASE WHEN broken THEN 'malformed_citation' WHEN coalesce(unresolved, false) THEN 'unresolved_citation'
