@@ -160,10 +160,14 @@ def bm25_topk(questions: DataFrame, docs: DataFrame | None, k: int, key: str = "
     each = Window.partitionBy(key)
     bounds = bounds.withColumn("reach", F.sum("top").over(upto)).withColumn("least", F.coalesce(F.max(-F.col("mult") * F.col("kth")).over(each), F.lit(0.0)) - 1e-8)
     bounds = bounds.withColumn("leads", F.col("reach") >= F.col("least")).withColumn("others", F.coalesce(F.sum(F.when(~F.col("leads"), F.col("top"))).over(each), F.lit(0.0)))
-    part = bounds.where("leads").select(key, "phrase", "mult", "least", "others").join(scored.select("phrase", doc, "score"), "phrase")
-    partial = cut(part.groupBy(key, doc).agg(F.sum(F.col("mult") * F.col("score")).alias("score"), F.first("least").alias("least"), F.first("others").alias("others")), "partial")
+    bounds = cut(bounds.select(key, "phrase", "mult", "leads", "least", "others"), "bounds")
+    # scores lie by document, so that a question's sums over a document need no shuffle while `bounds`, whose size Spark knows, can be broadcast
+    by_doc = scored.select("phrase", doc, "score").repartition(doc)
+    part = by_doc.join(bounds.where("leads").select(key, "phrase", "mult"), "phrase")
+    partial = cut(part.groupBy(key, doc).agg(F.sum(F.col("mult") * F.col("score")).alias("score")), "partial")
     enough = partial.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("score"))).where(F.col("i") <= k).groupBy(key).agg(F.max(F.when(F.col("i") == k, -F.col("score"))).alias("reached"))
-    able = partial.join(enough, key).where(F.col("others") - F.col("score") >= F.greatest("least", F.col("reached") - 1e-8)).select(key, doc, "score")
+    needed = cut(bounds.groupBy(key).agg(F.first("least").alias("least"), F.first("others").alias("others")).join(enough, key), "needed")
+    able = partial.join(needed, key).where(F.col("others") - F.col("score") >= F.greatest("least", F.col("reached") - 1e-8)).select(key, doc, "score")
     rest = able.select(key, doc).join(bounds.where("not leads").select(key, "phrase", "mult"), key).join(scored.select("phrase", doc, F.col("score").alias("s")), ["phrase", doc]).select(key, doc, (F.col("mult") * F.col("s")).alias("score"))
     total = able.unionByName(rest).groupBy(key, doc).agg(F.sum("score").alias("score"))
     relaxed = total.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select(key, "rank", doc, "score")
