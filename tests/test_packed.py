@@ -62,7 +62,8 @@ def test_any_text_ends_and_loses_no_letter(text):
         got = split_packed(text, field)
         assert [p for p, _, _ in got] == list(range(1, len(got) + 1))
         assert all(v == v.strip() and v for _, v, _ in got)
-        assert sum(v.count("a") + v.count("b") for _, v, _ in got) == text.count("a") + text.count("b") - (text.count("\\b") if False else 0) or "\\" in text
+        if "\\" not in text:  # an escape may stand for another character
+            assert sum(v.count("a") + v.count("b") for _, v, _ in got) == text.count("a") + text.count("b")
 
 
 def test_long_text_is_linear():
