@@ -18,21 +18,22 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Tabl
     for batch in batches:
         if not batch.num_rows:
             continue
-        starts = _starts(batch, keys)
+        begins = starts(batch, keys)
         if held and not _joins(held[-1], batch, keys):
             yield _bounded(pa.Table.from_batches(held), keys)
             held = []
-        if len(starts) == 1:
+        if len(begins) == 1:
             held.append(batch)
             continue
-        last = int(starts[-1])
+        last = int(begins[-1])
         yield _bounded(pa.Table.from_batches([*held, batch.slice(0, last)]), keys)
         held = [batch.slice(last)]
     if held:
         yield _bounded(pa.Table.from_batches(held), keys)
 
 
-def _starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+def starts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where the runs of equal values in the first `keys` columns of a batch begin."""
     change = np.zeros(batch.num_rows, bool)
     change[0] = True
     for i in range(keys):
