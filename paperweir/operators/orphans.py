@@ -3,7 +3,8 @@
 The state holds an index of parents (one row for each key: when it first came, whether it is there, whether it
 was ever removed), the references that wait for a parent, and those that found theirs. A step brings new
 references, parents that arrived, marks of removal and parents that left: new and waiting references probe the
-index, arriving parents resolve what waits for them, departures reopen what was resolved.
+index, arriving parents resolve what waits for them, departures reopen what was resolved, and so does the first
+time that a parent without one gets.
 """
 
 from __future__ import annotations
@@ -67,8 +68,11 @@ def removals(df: DataFrame, table: str, key: str) -> DataFrame:
     return df.select(F.col(table).alias("target"), norm.alias("key"), F.lit(None).cast("timestamp_ntz").alias("first_seen"), F.lit(False).alias("present"), F.lit(True).alias("removed")).where(F.col("key").isNotNull())
 
 
-def _index(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("target", "key").agg(F.min("first_seen").alias("first_seen"), F.bool_or("present").alias("present"), F.bool_or("removed").alias("removed"))
+def _index(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One entry for each key; `dated`: it was there without a time before, and has one now."""
+    entries = old.withColumn("undated", F.col("present") & F.col("first_seen").isNull()).unionByName(new.withColumn("undated", F.lit(False)))
+    dated = F.bool_or("undated") & F.min("first_seen").isNotNull()
+    return entries.groupBy("target", "key").agg(F.min("first_seen").alias("first_seen"), F.bool_or("present").alias("present"), F.bool_or("removed").alias("removed"), dated.alias("dated"))
 
 
 def _kind() -> F.Column:
@@ -80,27 +84,31 @@ def step(state: OrphanState, refs: DataFrame | None = None, came: DataFrame | No
     """The state after new references (REFS), index entries that came (PARENTS) and keys that left (`target, key`).
 
     Any of them may be None. A key that left and is not among those that came is marked as removed, and what it
-    had resolved waits again. Null keys and blank references are for the caller to leave out.
+    had resolved waits again, and so does what a key resolved before its first time came. Null keys and blank references are for the caller to leave out.
     """
-    parents = state.parents
-    reopened = None
+    parents, new = state.parents, came if came is not None else empty_parents(state.parents.sparkSession)
+    reopened = []
     if left is not None:
         gone = left.select("target", "key").distinct()
         parents = parents.join(gone.withColumn("gone", F.lit(True)), ["target", "key"], "left")
         parents = parents.select("target", "key", F.when(F.col("gone").isNull(), F.col("first_seen")).alias("first_seen"), (F.col("present") & F.col("gone").isNull()).alias("present"), (F.col("removed") | F.col("gone").isNotNull()).alias("removed"))
         marks = gone.select("target", "key", F.lit(None).cast("timestamp_ntz").alias("first_seen"), F.lit(False).alias("present"), F.lit(True).alias("removed"))
-        parents = parents.unionByName(marks)
+        new = new.unionByName(marks)
         reopened = [f.join(gone, ["target", "key"], "left_semi") for f in state.found]
         state.found = [cut(f.join(gone, ["target", "key"], "left_anti"), "found") for f in state.found]
-    if came is not None:
-        parents = parents.unionByName(came)
     if came is not None or left is not None:
-        parents = cut(_index(parents), "parents")
+        index = cut(_index(parents, new), "parents")
         drop_cut(state.parents)
+        parents = index.drop("dated")
+        parents._paperweir_path = index._paperweir_path
+        dated = index.where("dated").select("target", "key")
+        if state.found and dated.limit(1).count():
+            reopened += [f.join(dated, ["target", "key"], "left_semi") for f in state.found]
+            state.found = [cut(f.join(dated, ["target", "key"], "left_anti"), "found") for f in state.found]
     probing = [state.waiting.select(*REF_COLUMNS)]
     if refs is not None:
         probing.append(refs.select(*REF_COLUMNS))
-    probing += [r.select(*REF_COLUMNS) for r in reopened or []]
+    probing += [r.select(*REF_COLUMNS) for r in reopened]
     every = reduce(DataFrame.unionByName, probing).distinct()
     judged = cut(salted_join(every, parents, ["target", "key"], "left").select(*REF_COLUMNS, _kind().alias("orphan_kind")), "refs")
     after = OrphanState(parents, judged.where("orphan_kind is not null"), [*state.found, judged.where("orphan_kind is null").select(*REF_COLUMNS)])

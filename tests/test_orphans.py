@@ -42,6 +42,15 @@ def test_any_periods_give_the_same(spark):
     assert set(one.values()) == {"late", "deleted", "missing"}
 
 
+def test_a_time_that_comes_later_is_judged(spark):
+    r = refs(spark, (1, "a", 3), (2, "a", 21), (3, "b", 3), (4, "a", None))
+    c = came(spark, ("a", None, True), ("a", 20, True), ("b", None, True))
+    one = kinds(track(r, c, []))
+    assert one == {("1", "a"): "late"}
+    assert kinds(track(r, c, ["2024-01-10", "2024-01-15"])) == one
+    assert kinds(track(r, c, ["2024-01-02", "2024-01-10"])) == one
+
+
 def test_empty(spark):
     assert track(refs(spark).limit(0), came(spark).limit(0), ["2024-01-05"]).orphans().count() == 0
 
