@@ -5,7 +5,8 @@
     sequence  <- item? (separator item?)* end
     item      <- quoted / bare
     quoted    <- '"' ('""' / '\\' any / [^"])* '"' &(separator / end)   likewise with an apostrophe
-    bare      <- group / inverted / name / word                         which of them, the field says
+    bare      <- group / inverted / long / name / word                  which of them, the field says
+    long      <- surnames ',' given names &(divider / end)              where ; | or line breaks divide the list
 
 Alternatives are tried in order and a failed one is taken back, so a quotation mark that is never closed, or
 closed before other text, is read as part of a bare value and flagged.
@@ -34,6 +35,12 @@ _INITIALS = r"(?:[^\W\d_a-z]\.(?:[\s-]*[^\W\d_a-z]\.)*)"
 _SUFFIX = r"(?:\s*,\s*(?:Jr|Sr|II|III|IV|PhD|Ph\.D|MD)\b\.?)"
 #: A surname of one word, with particles, then a comma and given names or initials, then perhaps a suffix.
 _INVERTED = re.compile(rf"(?:{PARTICLES}\s+)*{_CAP}\s*,\s*(?:{_INITIALS}|[^\W\d_a-z][\w'’\-]*(?:\s+{_INITIALS})?){_SUFFIX}?(?=\s*(?:$|[;；|·、&,\t\n]|/\s|\band\b))")
+_GAP = r"[^\S\t\n\r]+"
+_NAMES = rf"(?:{PARTICLES}{_GAP})*{_CAP}(?:{_GAP}(?:{PARTICLES}{_GAP})*{_CAP})*"
+_DIVIDER = re.compile(r"[;；|\n]")
+#: As above with any number of surnames and of given names, up to a divider.
+_LONG = re.compile(rf"(?P<family>{_NAMES})[^\S\n]*,[^\S\n]*(?P<given>{_NAMES}){_SUFFIX}?(?=\s*(?:$|[;；|\n]))")
+_PARTICLE = re.compile(PARTICLES)
 _HAS_SUFFIX = re.compile(_SUFFIX)
 #: The name of a group, of which "and" or "&" is a part.
 _GROUP = re.compile(r"[^\W\d_][\w-]*\s+(?:and|&)\s+[^\W\d_][\w-]*\s+(?:Group|Collaboration|Team|Consortium|Network|Project|Laboratory|Institute)\b", re.U)
@@ -95,13 +102,38 @@ def _bracketed(text: str) -> list[str] | None:
         at += 1
 
 
-def _bare_end(text: str, at: int, field: Field) -> int:
+def _divided(text: str) -> tuple[bool, bool]:
+    """Whether dividers stand between names, and whether a surname comes first in all the names between them."""
+    parts = [p.strip() for p in _DIVIDER.split(re.sub(r'"[^"]*"', '""', text))]
+    parts = [p for p in parts if p]
+    bare = [p for p in parts if p[0] != '"']
+    return len(parts) > 1, len(bare) > 1 and all(_INVERTED.fullmatch(p) or _LONG.fullmatch(p) for p in bare)
+
+
+def _long_end(text: str, at: int, inverted: bool) -> int | None:
+    """Where a name `surnames, given names` ends that fills the place between two dividers, from `at`.
+
+    Two full names with a comma between them look the same; they are one only where the whole list is `inverted`.
+    """
+    i = at - 1
+    while i >= 0 and text[i].isspace() and text[i] != "\n":
+        i -= 1
+    if i >= 0 and not _DIVIDER.match(text, i) or not (m := _LONG.match(text, at)):
+        return None
+    family = [w for w in m["family"].split() if not _PARTICLE.fullmatch(w)]
+    given = [w for w in m["given"].split() if not w.endswith(".")]
+    return m.end() if inverted or len(family) == 1 or len(given) <= 1 and len(m["given"].split()[0].rstrip(".")) > 1 else None
+
+
+def _bare_end(text: str, at: int, field: Field, divided: bool = False, inverted: bool = False) -> int:
     """Where the bare value that begins at `at` ends."""
     if field.names:
         if m := _GROUP.match(text, at):
             return m.end()
         if m := _INVERTED.match(text, at):
             return m.end()
+        if divided and (end := _long_end(text, at, inverted)):
+            return end
     depth, i, size = 0, at, len(text)
     while i < size:
         c = text[i]
@@ -135,6 +167,7 @@ def split_packed(text: str | None, field: Field) -> list[tuple[int, str, str | N
         if s.lstrip().startswith("[") and not field.names or re.match(r"\s*\[\s*[\"']", s):  # a list whose bracket is not closed
             s, flag = s.strip().lstrip("[").rstrip("]"), "broken_bracket"
         at, size = 0, len(s)
+        divided, inverted = _divided(s) if field.names and "," in s else (False, False)
         while at < size:
             at = _WS.match(s, at).end()
             if at >= size:
@@ -151,7 +184,7 @@ def split_packed(text: str | None, field: Field) -> list[tuple[int, str, str | N
                     items.append((re.sub(r"\\([\"'\\])", r"\1", inner), flag))
                     at = q.end()
                     continue
-            end = _bare_end(s, at, field)
+            end = _bare_end(s, at, field, divided, inverted)
             if end == at:
                 end = at + 1
             value = s[at:end].strip()

@@ -36,6 +36,24 @@ def test_authors(text, want):
     assert values(text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Smith, John Paul; Doe, Jane", ["Smith, John Paul", "Doe, Jane"]),
+        ("Garcia Marquez, Gabriel; Doe, J.", ["Garcia Marquez, Gabriel", "Doe, J."]),
+        ("Khan, M. Tariq | Fell, Mia", ["Khan, M. Tariq", "Fell, Mia"]),
+        ("de la Cruz Vega, María del Carmen, Jr.\nDoe, Jane", ["de la Cruz Vega, María del Carmen, Jr.", "Doe, Jane"]),
+        ("Vargas Llosa, Jorge Mario; Doe, Jane", ["Vargas Llosa, Jorge Mario", "Doe, Jane"]),
+        ("Ada Lovelace, Alan Turing; Kurt Gödel", ["Ada Lovelace", "Alan Turing", "Kurt Gödel"]),
+        ("Ada Lovelace, Alan Turing, Kurt Gödel; Mia Fell", ["Ada Lovelace", "Alan Turing", "Kurt Gödel", "Mia Fell"]),
+        ("Ada Lovelace, Alan Turing\n", ["Ada Lovelace", "Alan Turing"]),
+        ("Ada Lovelace, Alan Turing,\nKurt Gödel", ["Ada Lovelace", "Alan Turing", "Kurt Gödel"]),
+    ],
+)
+def test_surnames_first_between_dividers(text, want):
+    assert values(text) == want
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -70,6 +88,11 @@ def test_long_text_is_linear():
     assert len(values("Ada Love; " * 20_000)) == 20_000
 
 
+def test_long_divided_text_is_linear():
+    assert len(values("Love Hill, Ada May; " * 20_000)) == 20_000
+    assert values("A " * 20_000 + "a; B C, D") and values("A " * 20_000 + ", " + "B " * 20_000 + "a; C")
+
+
 def test_unpack_table(spark):
     rows = [("p1", "A B; C D", "x", 1), ("p1", "A B; C D", "x", 1), ("p2", None, "", 2), (None, "E F", None, 3)]
     df = spark.createDataFrame(rows, "paper_id string, authors string, categories string, key int")
