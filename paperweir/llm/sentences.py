@@ -5,7 +5,8 @@ judged by a lattice of terminators: each run of terminators with its closing mar
 quotation it stands in, the token before it and the word after it accept or reject. Chinese and Japanese ends
 are terminators too, judged by the particle that follows a closed quotation. Thai has no terminators: its
 segments between gaps are divided into words by a dictionary lattice, and each gap is classified by the word
-before it (does it leave the sentence open?) and the word after it (may it open one?).
+before it (does it leave the sentence open?) and the word after it (may it open one?). Beside a word that
+no dictionary has, a name as a rule, a gap ends a sentence only where the word on the other side says so.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,15 +37,21 @@ OPENERS = frozenset(
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jahrhundert".split())
 # Particles that carry a Japanese or Chinese sentence on behind a closed quotation.
 CARRIES_ON = ("と", "って", "という", "など", "が", "を", "に", "は", "の", "も", "で", "へ", "や", "か", "から", "より", "的", "这", "等", "一", "之", "是", "和", "与", "，", "、", "；", "：", ",", ";", ":")
-# Thai words of this kind of text, for the lattice.
+# Thai words of this kind of text, for the lattice; where they do not cover a run, thai_words.txt is added.
 THAI = frozenset(
     "คลัง ข้อความ นี้ นั้น ลดทอน ระยะห่าง เวกเตอร์ ประมาณ หน่วย ตลอด หลาย ปี แบบจำลอง ค้นคืน ขยาย สัญญาณ หลัง การ ทำ ความ สะอาด แต่ บันทึก ธารน้ำแข็ง ปรับปรุง หนาแน่น ตัวอย่าง ฟิล์ม บาง อธิบาย กลุ่ม ผู้สมัคร ภายใต้ ภาระ สูง "
     "เกณฑ์ ตัดสิน จำกัด ลำดับ ผลลัพธ์ โดย ไม่ วัด ซ้ำ ค่า รบกวน ให้ ช้า ตอบสนอง เฉลี่ย เมื่อ เทียบ กับ ฐาน รุ่น แทนที่ หลัก ตัว ตรวจจับ จัดเรียง ขอบเขต ผิดพลาด ชุด ยืนยัน คำถาม เข้ารหัส ใน ระยะ ที่ สอง และ หรือ ของ เป็น มี ได้ จะ ว่า "
     "ซึ่ง จึง เพราะ ถ้า หาก เพื่อ จาก ถึง ด้วย อยู่ ไป มา แล้ว ยัง คือ ทุก แต่ละ ระบบ ข้อมูล ผล วิธี งาน บท เรา เขา ผู้ เช่น ตาม ต่อ ระหว่าง ก่อน โดยที่ อย่าง มาก น้อย กว่า ครับ ค่ะ นะ คะ".split()
 )
 # Thai words that leave a sentence open, and words that do not open one.
-THAI_OPEN = frozenset("ประมาณ รุ่น และ แต่ หรือ ของ ใน ที่ ซึ่ง จึง เพราะ ถ้า หาก เพื่อ จาก ถึง ด้วย ว่า กับ โดย เป็น คือ เช่น ตาม ต่อ ระหว่าง ก่อน ภายใต้ ตลอด เมื่อ ให้ จะ ไม่".split())
-THAI_INNER = frozenset("และ แต่ หรือ ซึ่ง จึง เพราะ ของ ที่ ว่า หน่วย เช่น โดยที่ ด้วย อยู่ แล้ว ครับ ค่ะ นะ คะ".split())
+THAI_OPEN = frozenset(
+    "ประมาณ รุ่น และ แต่ หรือ ของ ใน ที่ ซึ่ง จึง เพราะ ถ้า หาก เพื่อ จาก ถึง ด้วย ว่า กับ โดย เป็น คือ เช่น ตาม ต่อ ระหว่าง ก่อน ภายใต้ ตลอด เมื่อ ให้ จะ ไม่ "
+    "ได้แก่ อาทิ แม้ แม้ว่า ถึงแม้ เนื่องจาก เพราะว่า สำหรับ เกี่ยวกับ ตั้งแต่ จน จนถึง จนกระทั่ง ต้อง ควร อาจ กำลัง เคย ทั้ง โดยเฉพาะ นอกจาก รวมทั้ง รวมถึง ตลอดจน ราว เกือบ".split()
+)
+THAI_INNER = frozenset("และ แต่ หรือ ซึ่ง จึง เพราะ ของ ที่ ว่า หน่วย เช่น โดยที่ ด้วย อยู่ แล้ว ครับ ค่ะ นะ คะ ได้แก่ อาทิ จน จนถึง จนกระทั่ง รวมทั้ง รวมถึง ตลอดจน เพราะว่า ก็ เป็นต้น ๆ ฯ ฯลฯ".split())
+# Thai words that close a sentence, and words that open one, even beside an unknown word.
+THAI_FINAL = frozenset("ครับ ค่ะ นะ คะ จ้ะ แล้ว เป็นต้น".split())
+THAI_OPENERS = frozenset("เรา เขา เธอ ผม ฉัน ดิฉัน มัน พวกเขา พวกเรา นี่ นั่น อย่างไรก็ตาม ดังนั้น นอกจากนี้ ทั้งนี้ ต่อมา ปัจจุบัน เมื่อ หลังจาก ถ้า หาก".split())
 
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)*\n")
 _CJK = "　-〿぀-ヿ㐀-䶿一-鿿豈-﫿＀-￯"
@@ -62,24 +70,56 @@ _ORDINAL = re.compile(r"\b(?:am|vom|zum|der|dem|des|den|im|beim|bis|ab|seit)\s+\
 _PARTS_NEVER = re.compile(r"(?:^|[\s(\[„“«\"])(?:z\.\s?B|d\.\s?h|p\.\s?ej|т\.\s?е|i\.\s?e|e\.\s?g|c\.-à-d|u\.\s?U|o\.\s?g|s\.\s?o|v\.\s?a)$")
 
 
-@lru_cache(maxsize=50_000)
-def thai_words(run: str) -> tuple[str, ...]:
-    """The cheapest way through the lattice of dictionary words over a run of Thai letters; a letter that no
-    word covers costs more than any word."""
-    n, longest = len(run), 12
+@lru_cache(maxsize=1)
+def thai_dictionary() -> frozenset[str]:
+    """The list above and a general one, the Thai dictionary of ICU 77.1."""
+    return THAI.union(Path(__file__).with_name("thai_words.txt").read_text(encoding="utf-8").split())
+
+
+def _lattice(run: str, words: frozenset[str], longest: int) -> tuple[list[str], bool]:
+    """The cheapest way through `run`, neighbouring letters that no word covers as one, and whether it has such."""
+    n = len(run)
     cost, back = [0.0] + [1e18] * n, [0] * (n + 1)
     for i in range(n):
         here = cost[i]
         if here + 3 < cost[i + 1]:
             cost[i + 1], back[i + 1] = here + 3, i
         for j in range(i + 1, min(n, i + longest) + 1):
-            if here + 1 < cost[j] and run[i:j] in THAI:
+            if here + 1 < cost[j] and run[i:j] in words:
                 cost[j], back[j] = here + 1, i
-    out, j = [], n
+    out, j, end = [], n, n
+    whole = True
     while j:
-        out.append(run[back[j] : j])
-        j = back[j]
-    return tuple(reversed(out))
+        i = back[j]
+        if cost[j] - cost[i] < 2:
+            if j < end:
+                out.append(run[j:end])
+            out.append(run[i:j])
+            end = i
+        else:
+            whole = False
+        j = i
+    if end:
+        out.append(run[:end])
+    return out[::-1], whole
+
+
+@lru_cache(maxsize=50_000)
+def thai_words(run: str) -> tuple[str, ...]:
+    """The cheapest way through the lattice of dictionary words over a run of Thai letters; a letter that no
+    word covers costs more than any word, and such letters side by side are one unknown word."""
+    words, whole = _lattice(run, THAI, 12)
+    if not whole:
+        words, _ = _lattice(run, thai_dictionary(), 20)
+    return tuple(words)
+
+
+def _thai_gap_ends(last: str, first: str) -> bool:
+    """Whether a gap between these two words ends a sentence."""
+    if last in THAI_OPEN or first in THAI_INNER:
+        return False
+    known = thai_dictionary()
+    return last in known and first in known or last in THAI_FINAL or first in THAI_OPENERS
 
 
 def _enclosed(block: str) -> list[tuple[int, int]]:
@@ -177,7 +217,7 @@ def _block_ends(block: str) -> Iterator[int]:
         for m in _THAI_GAP.finditer(block):
             left = _THAI_RUN_BEFORE.search(block, max(0, m.start() - 400), m.start()).group()
             right = _THAI_RUN.match(block, m.end()).group()
-            if thai_words(left)[-1] not in THAI_OPEN and thai_words(right)[0] not in THAI_INNER:
+            if _thai_gap_ends(thai_words(left)[-1], thai_words(right)[0]):
                 gaps.append((m.start(), m.start()))
     found = [(m.start(), m.end(), m) for m in _END.finditer(block)] + [(a, b, None) for a, b in gaps]
     if gaps:

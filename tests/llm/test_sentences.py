@@ -43,6 +43,15 @@ def test_thai():
     assert [text[a:b] for a, b in sentences(text)] == parts
 
 
+def test_thai_beyond_the_list():
+    assert thai_words("รัฐบาลประเทศไทยกินแมว")[:1] == ("รัฐบาล",)
+    assert thai_words("โรงเรียนฃฅฃฅ") == ("โรงเรียน", "ฃฅฃฅ")
+    for text in ("โรงเรียนต่าง ๆ", "รัฐบาลเนื่องจาก ฝนตกหนัก", "ผลไม้ ได้แก่ มะม่วง", "นักเรียน ฃฅฃฅ กินข้าว"):  # gaps within a sentence
+        assert len(sentences(text)) == 1, text
+    parts = ["แมวกินปลา", "โรงเรียนปิดแล้ว", "ฃฅฃฅกินข้าว", "เขาไปตลาด"]
+    assert [" ".join(parts)[a:b] for a, b in sentences(" ".join(parts))] == parts
+
+
 def test_blank_lines():
     text = "## 1 Heading\r\n\r\nOne. Two\n \n\n  Three  \n"
     assert [text[a:b] for a, b in sentences(text)] == ["## 1 Heading", "One.", "Two", "Three"]
