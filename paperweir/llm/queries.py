@@ -80,6 +80,18 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig ON dg.n = ig.n AND dg.g = ig.g
 """
 
 
+# All pairs of usable vectors, each ranked for both of its ends.
+P3_SQL = """
+WITH usable AS (SELECT min(chunk_id) AS id, arg_min(embedding, chunk_id)::DOUBLE[] AS v FROM chunks
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND chunk_id IS NOT NULL AND chunk_uid IS NOT NULL GROUP BY chunk_uid),
+sized AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM usable),
+sims AS (SELECT a.id AS x, b.id AS y, least(list_dot_product(a.v, b.v) / (a.n * b.n), 1.0) AS sim FROM sized a JOIN sized b ON a.id <> b.id),
+best AS (SELECT x, y FROM sims WHERE sim >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY sim DESC, y) <= 10)
+SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM best
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL. The other llm operators are tested against brute force or public encoders instead."""
-    return {"p7_found": P7_SQL}
+    return {"p3_found": P3_SQL, "p7_found": P7_SQL}
