@@ -10,7 +10,6 @@ from paperweir.engine import Engine, SearchConfig
 from paperweir.operators import providers
 from paperweir.operators.answering import AnswerConfig
 from paperweir.operators.chunking import ChunkConfig
-from paperweir.operators.orphans import OrphanState
 from paperweir.streaming.orphans import EVENTS, OrphanStream
 from paperweir.streaming.reindex import activity, reindex_stream
 
@@ -173,8 +172,8 @@ def test_orphan_stream(spark, tmp_path):
         [("departure", None, None, None, "chunks", "a", None)],
     ]
     snaps = []
-    s = OrphanStream(OrphanState.start(spark), lambda c, n: snaps.append((n, c.count())), every=1)
-    for i, rows in enumerate(batches):
+    for rows in batches:
+        s = OrphanStream(spark, f"file://{tmp_path}/state", lambda c, n: snaps.append((n, c.count())), every=1, parts=4)
         spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(str(src))
         s.start(spark.readStream.schema(EVENTS).parquet(str(src)), str(tmp_path / "cp")).awaitTermination()
     got = {(r.source_key, r.orphan_kind) for r in s.state.orphans().collect()}

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from paperweir.session import scratch
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -33,9 +34,11 @@ def duck(small):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, duck, small):
-    df = QUERIES[name](spark, small)
-    cols = sorted(df.columns)
-    got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    with scratch():
+        df = QUERIES[name](spark, small)
+        cols = sorted(df.columns)
+        got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert got, "a query that returns nothing shows nothing"
     if name not in SQL:
         return
     rel = duck.execute(SQL[name])
