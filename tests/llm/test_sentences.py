@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from paperweir.llm.sentences import sentences, split_sentences, thai_words
+from paperweir.llm.sentences import lattice_words, sentences, split_sentences
 
 CASES = [
     ["One ends.", "Two ends!", "Three ends?!", "Four"],
@@ -37,21 +37,52 @@ def test_glued(parts):
 
 
 def test_thai():
-    assert thai_words("แบบจำลองค้นคืนขยายสัญญาณ") == ("แบบจำลอง", "ค้นคืน", "ขยาย", "สัญญาณ")
     parts = ["ชุดการวัดขยายสัญญาณประมาณ 9.3 หน่วยตลอดหลายปี", "คำถามรุ่น Navkimyx ปรับปรุงสัญญาณ", "ฟิล์มบางขยายสัญญาณ"]
     text = " ".join(parts)
     assert [text[a:b] for a, b in sentences(text)] == parts
 
 
 def test_thai_beyond_the_list():
-    assert thai_words("รัฐบาลประเทศไทยกินแมว")[:1] == ("รัฐบาล",)
-    assert thai_words("โรงเรียนฃฅฃฅ") == ("โรงเรียน", "ฃฅฃฅ")
+    assert lattice_words("thai", "รัฐบาลประเทศไทยกินแมว") == ("รัฐบาล", "ประเทศไทย", "กิน", "แมว")
+    assert lattice_words("thai", "โรงเรียนฃฅฃฅ") == ("โรงเรียน", "ฃฅฃฅ")
     for text in ("โรงเรียนต่าง ๆ", "รัฐบาลเนื่องจาก ฝนตกหนัก", "ผลไม้ ได้แก่ มะม่วง", "นักเรียน ฃฅฃฅ กินข้าว"):  # gaps within a sentence
         assert len(sentences(text)) == 1, text
     parts = ["แมวกินปลา", "โรงเรียนปิดแล้ว", "ฃฅฃฅกินข้าว", "เขาไปตลาด"]
     assert [" ".join(parts)[a:b] for a, b in sentences(" ".join(parts))] == parts
 
 
+ORDINARY = [
+    ["ผมซื้อ ส้ม กล้วย มะม่วง ที่ตลาด"],
+    ["เมื่อวานผมไปตลาดกับแม่", "เราซื้อปลาและผักหลายอย่าง", "วันนี้ฝนตกหนักทั้งวัน"],
+    ["ຂ້ອຍໄປຕະຫຼາດກັບແມ່ມື້ວານນີ້", "ພວກເຮົາຊື້ປາແລະຜັກຫຼາຍຢ່າງ"],
+    ["昨日は市場へ行きました", "今日は雨が降っています"],
+    ["東京 大阪 京都に行きました。"],
+    ["我们昨天去了市场 买了很多鱼。"],
+    ["ខ្ញុំទៅផ្សារ។", "យើងទិញត្រី។"],
+    ["We met in St. Louis on Jan. 5.", "Sen. Smith spoke with Ing. Novák.", "It rained on Main St.", "The game ended."],
+]
+
+
+@pytest.mark.parametrize("parts", ORDINARY)
+def test_ordinary_text(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+
+
+def test_lattices():
+    assert lattice_words("khmer", "ខ្ញុំទៅផ្សារ") == ("ខ្ញុំ", "ទៅ", "ផ្សារ")
+    assert lattice_words("burmese", "ကျွန်တော်ဈေးသွားတယ်")[-1] == "တယ်"
+    assert lattice_words("lao", "ພວກເຮົາຊື້ປາ") == ("ພວກ", "ເຮົາ", "ຊື້", "ປາ")
+    assert lattice_words("chinese_japanese", "昨日は市場へ")[::2] == ("昨日", "市場")
+
+
+def test_words_and_runs_of_any_length():
+    word = "x" * 5000 + "."
+    assert len(sentences(f"{word} Then more.")) == 2
+    run = "โรงเรียน" * 400
+    assert [len(lattice_words("thai", run)), len(sentences(f"{run}แล้ว เขาไปตลาด"))] == [400, 2]
+
+
 def test_blank_lines():
     text = "## 1 Heading\r\n\r\nOne. Two\n \n\n  Three  \n"
     assert [text[a:b] for a, b in sentences(text)] == ["## 1 Heading", "One.", "Two", "Three"]
