@@ -24,6 +24,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select(F.lit("chunks.text").alias("field_name"), "key_a", "key_b").unionByName(papers.select(F.lit("papers.abstract").alias("field_name"), "key_a", "key_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as classes: a row for each chunk, and paper, whose text has variants that look the same."""
+    chunks = lookalike.look_classes(table(spark, d, "chunks"), "chunk_uid", "text").withColumn("field_name", F.lit("chunks.text"))
+    papers = lookalike.look_classes(table(spark, d, "papers"), "paper_id", "abstract").withColumn("field_name", F.lit("papers.abstract"))
+    return chunks.unionByName(papers)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Eval items with a broken answer and the sort of its defect, the first that the rules name."""
     return p5_defects(spark, d).where("place = 1").select("query_id", "defect")
@@ -60,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p4_classes": p4_classes,
         "p5_found": p5_found,
         "p5_defects": p5_defects,
         "p6_ids": p6_ids,
@@ -92,6 +100,34 @@ SELECT DISTINCT least(x, y) AS chunk_id_a, greatest(x, y) AS chunk_id_b FROM bes
 """
 
 
+def _sql_looks(text: str) -> str:
+    """The look of a text in SQL: characters translated or removed by the operator's table, Latin and lam-alef ligatures replaced."""
+    table = lookalike.looks_table()
+    one = {chr(c): v for c, v in table.items() if v is not None and len(v) == 1 and not 0xD800 <= c <= 0xDFFF and c < 0x10000}
+    gone = [chr(c) for c, v in table.items() if v is None and c != 0x200D and c < 0x10000]
+    several = {chr(c): v for c, v in table.items() if v is not None and len(v) > 1 and (c < 0x2180 or 0xFB00 <= c <= 0xFB06 or 0xFEF5 <= c <= 0xFEFC)}
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    out = f"nfc_normalize({text})"
+    for c, v in several.items():
+        out = f"replace({out}, {quoted(c)}, {quoted(v)})"
+    out = f"translate({out}, {quoted(''.join(one) + ''.join(gone))}, {quoted(''.join(one.values()))})"
+    joined = r"'([\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}])\x{200D}([\x{2190}-\x{2BFF}\x{1F000}-\x{1FAFF}])'"  # a joiner between pictures shows
+    return rf"nfc_normalize(replace(replace(regexp_replace(regexp_replace({out}, {joined}, '\1' || chr(1) || '\2', 'g'), {joined}, '\1' || chr(1) || '\2', 'g'), chr(8205), ''), chr(1), chr(57344)))"
+
+
+P4_ROWS = f"""
+WITH rows AS (
+  SELECT DISTINCT 'chunks.text' AS field_name, chunk_uid AS key, text, {_sql_looks('text')} AS look FROM chunks WHERE chunk_uid IS NOT NULL AND text IS NOT NULL
+  UNION ALL SELECT DISTINCT 'papers.abstract', paper_id, abstract, {_sql_looks('abstract')} FROM papers WHERE paper_id IS NOT NULL AND abstract IS NOT NULL
+)
+"""
+P4_SQL = P4_ROWS + """SELECT DISTINCT a.field_name, a.key AS key_a, b.key AS key_b FROM rows a JOIN rows b ON a.field_name = b.field_name AND a.look = b.look AND a.key < b.key AND a.text <> b.text"""
+P4_CLASSES = P4_ROWS + """, classes AS (
+  SELECT field_name, look, min(key) AS class_key, count(DISTINCT text) AS n_texts, count(DISTINCT key) AS n_keys FROM rows GROUP BY ALL HAVING count(DISTINCT text) > 1
+)
+SELECT DISTINCT field_name, key, class_key, n_texts, n_keys FROM rows JOIN classes USING (field_name, look)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL. The other llm operators are tested against brute force or public encoders instead."""
-    return {"p3_found": P3_SQL, "p7_found": P7_SQL}
+    return {"p3_found": P3_SQL, "p4_found": P4_SQL, "p4_classes": P4_CLASSES, "p7_found": P7_SQL}
