@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 #: Words of an item that count as leaked when they stand in a row.
 RUN = 13
-#: Words of items in one automaton; more items are divided over several, each of which scans the corpus.
-WORDS_AT_ONCE = 2_000_000
+#: Words of items in one automaton, which bounds its memory (and the different ones, each of which needs a character of its
+#: own: there are a million). More items are divided over several automata, each of which scans the corpus.
+WORDS_AT_ONCE = 200_000
 #: A word, which a hyphen at a line end may divide.
 WORD = re.compile(r"[^\W_]+(?:(?:[-‐­]\r?\n)+[^\W_]+)*")
 _DIVIDED = re.compile(r"[-‐­]\r?\n")
@@ -82,14 +83,17 @@ def leaks(corpus: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     beyond `words_at_once` words they go to several automata, so that none grows without bound.
     """
     blocks: list[list[tuple[int, tuple[str, ...]]]] = [[]]
-    held = 0
+    held, size = 0, max(words_at_once, run)
     for row in items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).dropna().distinct().toLocalIterator():
         ws = tuple(words(row.t))
-        if held + len(ws) > words_at_once and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row.i, ws))
-        held += len(ws)
+        # an item that is too long by itself is divided into pieces that share all but one word of a run
+        for at in range(0, max(1, len(ws) - run + 1), max(1, size - run + 1)):
+            piece = ws[at : at + size]
+            if held + len(piece) > words_at_once and blocks[-1]:
+                blocks.append([])
+                held = 0
+            blocks[-1].append((row.i, piece))
+            held += len(piece)
     spark = corpus.sparkSession
     found = None
     rows = corpus.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).dropna()
