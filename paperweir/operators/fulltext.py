@@ -1,12 +1,19 @@
 """Full-text search: index tables, query compiler and BM25 in batches of questions.
 
-An index is three tables (token places, documents with their lengths, corpus counts); a query is a set of
-phrases, most of them of one token. The phrases of all questions are looked up at once: tokens of the corpus
-are cut down to those asked for before anything is shuffled.
+A query is a set of phrases, most of them of one token. Questions go to the workers in blocks of bounded size, and
+each worker scores all questions of a block over the documents it has, which never move: what leaves a task is the
+k best documents of each question. Documents come as texts, or from an index of two stored tables (postings by
+term, documents with their lengths), of which only the terms that are asked for are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +24,10 @@ IMPORTANT_LENGTH, MAX_REQUIRED = 6, 4
 K1, B = 1.2, 0.75
 #: Inverse document frequency of terms in half of all documents or more.
 IDF_FLOOR = 1e-6
+#: Questions that are sent to the workers at once.
+QUESTIONS = 20_000
+#: Documents of a shard of stored postings, and the number of folders that divide these by term.
+SHARD, TERM_PARTS = 8_192, 64
 
 
 def tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -68,50 +79,284 @@ def _phrases(compiled: DataFrame, key: str) -> DataFrame:
 
 
 def index_tables(docs: DataFrame, doc: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(places, lengths) to store: `term, doc, pos` and `doc, dl` of every document.
+    """(postings, lengths) to store: `part, term, doc, dl, tf, positions` and `doc, dl` of every document.
+
+    `part` is a hash of the term; stored by it and sorted by `term`, postings answer questions without reading texts, and
+    only those of the terms asked for; see `store_index` and `refresh`.
+    """
+    rows = docs.select(doc, index_tokens(text).alias("ts")).withColumn("dl", F.greatest(F.coalesce(F.size("ts"), F.lit(0)), F.lit(0)))
+    places = rows.select(doc, "dl", F.posexplode("ts").alias("pos", "term"))
+    each = places.groupBy("term", doc, "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return each.select(_term_part("term").alias("part"), "term", doc, "dl", "tf", "positions"), rows.select(doc, "dl")
+
+
+def _term_part(term: str) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_PARTS)).cast("int")
+
 
-    Stored by `term` (partitioned or bucketed), places answer questions without reading texts; see `refresh`.
+def store_index(index: tuple[DataFrame, DataFrame], at: str) -> None:
+    """Writes both tables of an index below `at`: postings in a folder for each part, sorted by term there.
+
+    A frequent term of a part goes to many files: documents spread it over salts.
     """
-    rows = docs.select(doc, index_tokens(text).alias("ts"))
-    places = rows.select(F.posexplode("ts").alias("pos", "term"), doc).select("term", doc, "pos")
-    return places, rows.select(doc, F.greatest(F.coalesce(F.size("ts"), F.lit(0)), F.lit(0)).alias("dl"))
+    postings_, lengths = index
+    doc = lengths.columns[0]
+    spread = postings_.withColumn("_salt", F.pmod(F.xxhash64(doc), F.lit(8)))
+    spread.repartition("part", "_salt").sortWithinPartitions("part", "term").drop("_salt").write.mode("overwrite").partitionBy("part").parquet(f"{at}/postings")
+    lengths.write.mode("overwrite").parquet(f"{at}/lengths")
+
+
+def read_index(spark, at: str) -> tuple[DataFrame, DataFrame]:
+    """The index stored at `at`."""
+    return spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/lengths")
 
 
 def refresh(index: tuple[DataFrame, DataFrame], changed: DataFrame, doc: str, gone: DataFrame | None = None, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The index after documents were inserted or updated (`changed`) and deleted (`gone`, with `doc`): only they are read."""
     ids = changed.select(doc) if gone is None else changed.select(doc).unionByName(gone.select(doc))
     new = index_tables(changed, doc, text)
-    return tuple(old.join(ids.distinct(), doc, "left_anti").select(*fresh.columns).unionByName(fresh) for old, fresh in zip(index, new))
-
-
-def phrase_frequencies(docs: DataFrame, doc: str, phrases: DataFrame, text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """`phrase, doc, tf, dl` of every document that holds one of the distinct `phrases`, from texts or a stored index.
-
-    `phrases` are those of the questions, not of the corpus; their tokens meet the corpus' tokens in a join that
-    Spark broadcasts while they are few, and that prunes tokens before they are counted.
+    return tuple(old.select(*fresh.columns).join(ids.distinct(), doc, "left_anti").select(*fresh.columns).unionByName(fresh) for old, fresh in zip(index, new))
+
+
+@dataclass
+class Block:
+    """Questions of a block: their keys, phrases as lists of term numbers, and rows (question, phrase, times, required)."""
+
+    keys: list
+    terms: list[str]
+    phrases: list[tuple[int, ...]]
+    question: np.ndarray
+    phrase: np.ndarray
+    times: np.ndarray
+    required: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Block:
+        """From rows (key, role, phrase, times), those of a question together."""
+        keys: list = []
+        terms: dict[str, int] = {}
+        phrases: dict[tuple[int, ...], int] = {}
+        q, p, m, r = [], [], [], []
+        for key, role, phrase, times in rows:
+            if not keys or keys[-1] != key:
+                keys.append(key)
+            ids = tuple(terms.setdefault(t, len(terms)) for t in phrase)
+            q.append(len(keys) - 1)
+            p.append(phrases.setdefault(ids, len(phrases)))
+            m.append(times)
+            r.append(role == "required")
+        return cls(keys, list(terms), list(phrases), np.array(q), np.array(p), np.array(m, float), np.array(r, bool))
+
+
+def _blocks(named: DataFrame, key: str, size: int) -> Iterator[Block]:
+    """The questions, `size` of them at a time."""
+    rows: list[tuple] = []
+    n, last = 0, None
+    for r in named.select(key, "role", "phrase", "mult").orderBy(key).toLocalIterator():
+        if not rows or r[0] != last:
+            if n == size:
+                yield Block.of(rows)
+                rows, n = [], 0
+            n, last = n + 1, r[0]
+        rows.append(tuple(r))
+    if rows:
+        yield Block.of(rows)
+
+
+def _found(tokens_: pa.ListArray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, row, times) of the block's phrases in lists of tokens, ordered by phrase and row."""
+    offsets = np.asarray(tokens_.offsets)
+    flat = tokens_.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    term = pc.fill_null(pc.index_in(flat, value_set=pa.array(block.terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(term >= 0)
+    at = at[np.argsort(term[at], kind="stable")]
+    bounds = np.searchsorted(term[at], np.arange(len(block.terms) + 1))
+    ps, rs, fs = [], [], []
+    for i, ids in enumerate(block.phrases):
+        here = at[bounds[ids[0]] : bounds[ids[0] + 1]]
+        for j, t in enumerate(ids[1:], 1):
+            here = here[here + j < offsets[row[here] + 1]]
+            here = here[term[here + j] == t]
+        if len(here):
+            rows, times = np.unique(row[here], return_counts=True)
+            ps.append(np.full(len(rows), i))
+            rs.append(rows)
+            fs.append(times)
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (ps, rs, fs))
+
+
+def _best(block: Block, phrase: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """(question, strict, rows, scores) of the k best of n rows, from weights by phrase and row, ordered by phrase.
+
+    Where a question has strict hits here it has them anywhere, so its relaxed ones are not wanted.
     """
-    wanted = phrases.select("phrase").distinct()
-    parts = wanted.select("phrase", F.size("phrase").alias("n"), F.posexplode("phrase").alias("offset", "term"))
-    if index is None:
-        rows = docs.select(doc, index_tokens(text).alias("ts")).withColumn("dl", F.size("ts"))
-        places = rows.select(doc, "dl", F.posexplode("ts").alias("pos", "term")).join(parts, "term")
-    else:
-        places = index[0].join(parts, "term").join(index[1], doc)
-    single = places.where("n = 1").groupBy("phrase", doc, "dl").agg(F.count("*").alias("tf"))
-    run = places.where("n > 1").groupBy("phrase", doc, "dl", "n", (F.col("pos") - F.col("offset")).alias("at")).agg(F.countDistinct("offset").alias("have")).where("have = n")
-    return single.unionByName(run.groupBy("phrase", doc, "dl").agg(F.count("*").alias("tf")))
-
-
-def _weighted(docs: DataFrame | None, doc: str, wanted: DataFrame, text: str, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """`phrase, doc, df, score`: what each phrase, now its tokens with blanks between, adds to a document's score."""
-    tf = phrase_frequencies(docs, doc, wanted, text, index)
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus_stats(docs, text) if index is None else index[1].agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    f, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    weight = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-    score = -weight * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return tf.join(df, "phrase").join(stats).select(F.array_join("phrase", " ").alias("phrase"), doc, "df", score.alias("score"))
+    bounds = np.searchsorted(phrase, np.arange(len(block.phrases) + 1))
+    begins = np.searchsorted(block.question, np.arange(len(block.keys) + 1))
+    for q in range(len(block.keys)):
+        mine = range(begins[q], begins[q + 1])
+        spans = [(bounds[block.phrase[i]], bounds[block.phrase[i] + 1], i) for i in mine]
+        spans = [x for x in spans if x[0] < x[1]]
+        if not spans:
+            continue
+        rows = np.concatenate([row[a:b] for a, b, _ in spans])
+        given = np.concatenate([block.times[i] * weight[a:b] for a, b, i in spans])
+        hit = np.unique(rows)
+        place = np.searchsorted(hit, rows)
+        score = np.bincount(place, given, len(hit))
+        need = block.required[begins[q] : begins[q + 1]]
+        strict = True
+        if need.any():
+            must = np.concatenate([np.full(b - a, block.required[i]) for a, b, i in spans])
+            have = np.bincount(place[must], minlength=len(hit)) == need.sum()
+            if not need.all():
+                have &= np.bincount(place[~must], minlength=len(hit)) > 0
+            strict = bool(have.any())
+            if strict:
+                hit, score = hit[have], score[have]
+        order = np.lexsort((hit, np.round(score, 9)))[:k]
+        yield q, strict, hit[order], score[order]
+
+
+def _answers(block: Block, docs: pa.Array, phrase: np.ndarray, row: np.ndarray, tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float, k: int, names: list[str]) -> pa.RecordBatch:
+    """The k best of `docs` for each question of a block; `row` counts in `docs`, which is in the order that breaks ties."""
+    weight = -idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+    qs, modes, rows, scores = [], [], [], []
+    for q, strict, r, s in _best(block, phrase, row, weight, len(docs), k):
+        qs.append(np.full(len(r), q))
+        modes.append(np.full(len(r), strict))
+        rows.append(r)
+        scores.append(s)
+    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+    return pa.RecordBatch.from_arrays([pa.array(join(qs, np.int64).astype(np.int32)), docs.take(pa.array(join(rows, np.int64))), pa.array(join(scores, float)), pa.array(join(modes, bool))], names)
+
+
+def _idf(block: Block, df: dict[int, int], n: int) -> np.ndarray:
+    d = np.array([df.get(i, 0) for i in range(len(block.phrases))], float)
+    idf = np.log((n - d + 0.5) / (d + 0.5))
+    return np.where(idf <= 0, IDF_FLOOR, idf)
+
+
+def _from_texts(rows: DataFrame, block: Block, k: int, doc: str) -> DataFrame:
+    """`q, doc, score, strict` from tokenised documents `doc, ts`: a batch of them is a shard."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(block)
+    kind = rows.schema[doc].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, size = np.zeros(len(sent.value.phrases) + 2, np.int64), 0, 0
+        for batch in batches:
+            phrase, _, _ = _found(batch.column(1), sent.value)
+            total[:-2] += np.bincount(phrase, minlength=len(total) - 2)
+            n, size = n + batch.num_rows, size + len(batch.column(1).flatten())
+        total[-2:] = n, size
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
+
+    # as many rows as the block has phrases
+    sums = {r.i: r.n for r in rows.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    p = len(block.phrases)
+    n, size = sums.get(p, 0), sums.get(p + 1, 0)
+    idf, avgdl = _idf(block, sums, n), size / n if size else 1.0
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = pc.sort_indices(batch.column(0))
+            docs, ts = batch.column(0).take(order), batch.column(1).take(order)
+            phrase, row, tf = _found(ts, sent.value)
+            yield _answers(sent.value, docs, phrase, row, tf, np.diff(np.asarray(ts.offsets)), idf, avgdl, k, ["q", doc, "score", "strict"])
+
+    return rows.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean")
+
+
+def _from_index(index: tuple[DataFrame, DataFrame], block: Block, k: int, doc: str) -> DataFrame:
+    """The same from stored postings: those of the block's terms, brought together by shards of documents."""
+    postings_, lengths = index
+    spark = lengths.sparkSession
+    kind = lengths.schema[doc].dataType.simpleString()
+    n, total = lengths.agg(F.count("*"), F.sum("dl")).first()
+    n, shards = n or 0, max(1, -(-(n or 0) // SHARD))
+    terms = spark.createDataFrame(list(enumerate(block.terms)), "t int, term string").withColumn("part", _term_part("term"))
+    read = postings_.join(F.broadcast(terms), ["part", "term"])  # at most the terms of one block of questions
+    multi = any(len(ids) > 1 for ids in block.phrases)
+    hits = cut(read.select(F.pmod(F.xxhash64(doc), F.lit(shards)).alias("shard"), "t", F.col(doc).alias("doc"), "dl", "tf", *(["positions"] if multi else [])), "postings")
+    sent = spark.sparkContext.broadcast(block)
+
+    def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for t in _runs(batches):
+            ids = t.column(2).combine_chunks().dictionary_encode()
+            values, at = ids.dictionary, ids.indices.to_numpy()
+            order = pc.sort_indices(values).to_numpy()
+            docs, rank = values.take(pa.array(order)), np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            row, term, dl = rank[at], t.column(1).to_numpy(), np.zeros(len(order))
+            dl[row] = t.column(3).to_numpy()
+            yield docs, dl, *_matched(sent.value, term, row, t.column(4).to_numpy(), t.column(5).combine_chunks() if multi else None)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(sent.value.phrases), np.int64)
+        for _, _, phrase, _, _ in shard_rows(batches):
+            found += np.bincount(phrase, minlength=len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["i", "n"])
+
+    sorted_ = hits.repartition("shard").sortWithinPartitions("shard")
+    df = {r.i: r.n for r in sorted_.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    idf, avgdl = _idf(block, df, n), (total or 0) / n if total else 1.0
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, dl, phrase, row, tf in shard_rows(batches):
+            yield _answers(sent.value, docs, phrase, row, tf, dl, idf, avgdl, k, ["q", doc, "score", "strict"])
+
+    return sorted_.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean")
+
+
+def _matched(block: Block, term: np.ndarray, row: np.ndarray, tf: np.ndarray, positions: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, row, times) from postings of terms, ordered by phrase and row."""
+    order = np.lexsort((row, term))
+    term, row, tf = term[order], row[order], tf[order]
+    bounds = np.searchsorted(term, np.arange(len(block.terms) + 1))
+    if positions is not None:
+        flat, offsets = positions.values.to_numpy(zero_copy_only=False), np.asarray(positions.offsets)
+    ps, rs, fs = [], [], []
+
+    def places(t: int) -> np.ndarray:
+        """Row and place of a term as one number."""
+        at = order[bounds[t] : bounds[t + 1]]
+        size = offsets[at + 1] - offsets[at]
+        take = np.repeat(offsets[at] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        return (np.repeat(row[bounds[t] : bounds[t + 1]], size).astype(np.int64) << 32) + flat[take]
+
+    for i, ids in enumerate(block.phrases):
+        if len(ids) == 1:
+            rows, times = row[bounds[ids[0]] : bounds[ids[0] + 1]], tf[bounds[ids[0]] : bounds[ids[0] + 1]]
+        else:
+            here = places(ids[0])
+            for j, t in enumerate(ids[1:], 1):
+                here = here[np.isin(here + j, places(t))]
+            rows, times = np.unique(here >> 32, return_counts=True)
+        if len(rows):
+            ps.append(np.full(len(rows), i))
+            rs.append(rows)
+            fs.append(times)
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (ps, rs, fs))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of one value of the first column each, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1).tolist(), len(v)]
+        for lo, hi in zip(edges, edges[1:]):
+            if held and held[0].column(0)[0].as_py() != v[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def bm25_topk(questions: DataFrame, docs: DataFrame | None, k: int, key: str = "query_id", query: str = "query", doc: str = "chunk_id", text: str = "text", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -121,56 +366,28 @@ def bm25_topk(questions: DataFrame, docs: DataFrame | None, k: int, key: str = "
     go to the smaller `doc`. Null questions have no results, nor have those without terms. With an `index` (see
     `index_tables`) no texts are read.
 
-    Frequent terms are not followed through the corpus. Candidates of a strict query are the documents of its
-    rarest required phrase. A relaxed one knows from its phrases' k-th best scores what a result must reach at
-    least; phrases that together cannot reach that bring no candidates. What the others give to the k-th best
-    document raises that bound, and a document that cannot reach it with all phrases is dropped before it is
-    scored. The result is exact.
+    Questions are taken `QUESTIONS` at a time, and every block of them is scored where the documents are; the
+    result is exact. Work grows with the postings of the terms asked for, and nothing but k rows of a question and task,
+    and a count for each phrase, leaves the tasks; with an index, its postings of these terms are moved once.
     """
     if k <= 0:
         raise ValueError("top_k must be > 0")
     compiled = compile_queries(questions.where(F.col(query).isNotNull()), key, query)
-    arrays = _phrases(compiled, key)
-    scored = cut(_weighted(docs, doc, arrays, text, index), "scores")
-    named = cut(arrays.withColumn("phrase", F.array_join("phrase", " ")), "phrases")
-    by_score = Window.partitionBy("phrase").orderBy("score")
-    kth = scored.withColumn("i", F.row_number().over(by_score)).where(F.col("i") <= k).groupBy("phrase").agg(F.min("score").alias("best"), F.max(F.when(F.col("i") == k, F.col("score"))).alias("kth"), F.first("df").alias("df"))
-    # strict
-    required = named.where("role = 'required'")
-    w = Window.partitionBy(key).orderBy("df", "phrase")
-    need = required.groupBy(key).agg(F.count("*").alias("n_required"))
-    has_optional = named.where("role = 'optional'").select(key).distinct().withColumn("has_optional", F.lit(True))
-    occurring = required.join(kth, "phrase").withColumn("i", F.row_number().over(w)).withColumn("have", F.count("*").over(Window.partitionBy(key)))
-    lead = occurring.join(need, key).where("i = 1 and have = n_required").select(key, "phrase")  # each required phrase occurs somewhere
-    candidates = lead.join(scored.select("phrase", doc), "phrase").select(key, doc)
-    hits = candidates.join(named, key).join(scored.select("phrase", doc, "score"), ["phrase", doc])
-    found = (
-        hits.groupBy(key, doc)
-        .agg(F.sum(F.col("mult") * F.col("score")).alias("score"), F.count_if(F.col("role") == "required").alias("got"), F.count_if(F.col("role") == "optional").alias("opt"))
-        .join(need, key)
-        .join(has_optional, key, "left")
-        .where((F.col("got") == F.col("n_required")) & ((F.col("opt") > 0) | F.col("has_optional").isNull()))
-    )
-    ordered = Window.partitionBy(key).orderBy(F.round("score", 9), doc)
-    strict = cut(found.select(key, doc, "score").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k), "strict")
-    # any term: relaxed queries, and those that name no long one, for which this is the strict query
-    loose = named.join(strict.select(key).distinct(), key, "left_anti").groupBy(key, "phrase").agg(F.sum("mult").alias("mult"))
-    bounds = loose.join(kth, "phrase").withColumn("top", -F.col("mult") * F.col("best"))
-    upto = Window.partitionBy(key).orderBy("top", "phrase").rowsBetween(Window.unboundedPreceding, 0)
-    each = Window.partitionBy(key)
-    bounds = bounds.withColumn("reach", F.sum("top").over(upto)).withColumn("least", F.coalesce(F.max(-F.col("mult") * F.col("kth")).over(each), F.lit(0.0)) - 1e-8)
-    bounds = bounds.withColumn("leads", F.col("reach") >= F.col("least")).withColumn("others", F.coalesce(F.sum(F.when(~F.col("leads"), F.col("top"))).over(each), F.lit(0.0)))
-    bounds = cut(bounds.select(key, "phrase", "mult", "leads", "least", "others"), "bounds")
-    # scores lie by document, so that a question's sums over a document need no shuffle while `bounds`, whose size Spark knows, can be broadcast
-    by_doc = scored.select("phrase", doc, "score").repartition(doc)
-    part = by_doc.join(bounds.where("leads").select(key, "phrase", "mult"), "phrase")
-    partial = cut(part.groupBy(key, doc).agg(F.sum(F.col("mult") * F.col("score")).alias("score")), "partial")
-    enough = partial.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("score"))).where(F.col("i") <= k).groupBy(key).agg(F.max(F.when(F.col("i") == k, -F.col("score"))).alias("reached"))
-    needed = cut(bounds.groupBy(key).agg(F.first("least").alias("least"), F.first("others").alias("others")).join(enough, key), "needed")
-    able = partial.join(needed, key).where(F.col("others") - F.col("score") >= F.greatest("least", F.col("reached") - 1e-8)).select(key, doc, "score")
-    rest = able.select(key, doc).join(bounds.where("not leads").select(key, "phrase", "mult"), key).join(scored.select("phrase", doc, F.col("score").alias("s")), ["phrase", doc]).select(key, doc, (F.col("mult") * F.col("s")).alias("score"))
-    total = able.unionByName(rest).groupBy(key, doc).agg(F.sum("score").alias("score"))
-    relaxed = total.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).select(key, "rank", doc, "score")
-    mode = F.when(F.col("n_required").isNull(), "strict").otherwise("relaxed")
-    relaxed = relaxed.join(need, key, "left").select(key, "rank", doc, "score", mode.alias("mode"))
-    return strict.select(key, "rank", doc, "score", F.lit("strict").alias("mode")).unionByName(relaxed)
+    named = _phrases(compiled, key)
+    rows = None if index is not None else cut(docs.select(doc, index_tokens(text).alias("ts")).withColumn("ts", F.coalesce("ts", F.array().cast("array<string>"))), "tokens")
+    spark = questions.sparkSession
+    kind = questions.schema[key].dataType.simpleString()
+    found = None
+    for block in _blocks(named, key, QUESTIONS):
+        part = _from_texts(rows, block, k, doc) if index is None else _from_index(index, block, k, doc)
+        keys = spark.createDataFrame(list(enumerate(block.keys)), f"q int, `{key}` {kind}")
+        part = part.join(F.broadcast(keys), "q").select(key, doc, "score", "strict")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        source = docs if index is None else index[1]
+        return spark.createDataFrame([], f"`{key}` {kind}, rank int, `{doc}` {source.schema[doc].dataType.simpleString()}, score double, mode string")
+    # a task keeps its k best of either mode; strict ones count where any task has them
+    first = Window.partitionBy(key).orderBy(F.desc("strict"), F.round("score", 9), doc)
+    best = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    best = best.withColumn("any", F.bool_or("strict").over(Window.partitionBy(key))).where(F.col("strict") == F.col("any"))
+    return best.select(key, "rank", doc, "score", F.when(F.col("strict"), "strict").otherwise("relaxed").alias("mode"))
