@@ -78,15 +78,18 @@ def window_starts(n: Column, config: ChunkConfig) -> Column:
 def chunk_pages(pages: DataFrame, doc: str = "doc_id", config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Overlapping windows of lossless tokens: `doc, page_number, chunk_index, char_start, char_end, token_count, text, chunk_uid`.
 
-    Blank pages have none. Offsets count code points of the page text. All of it is JVM expressions on a page.
+    Blank pages have none. Offsets count code points of the page text. All of it is JVM expressions on a page, whose
+    windows are made in place: the tokens are not copied for each, and a start is the sum of the strides before it.
     """
     stride = config.target_tokens - config.overlap_tokens
     toks = pages.where(F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\f\r]")).select(doc, F.col("page").alias("page_number"), words("text", TOKEN).alias("t"))
-    each = toks.select("*", F.explode(window_starts(F.size("t"), config)).alias("chunk_index"))
-    first = F.col("chunk_index") * stride
-    piece = F.slice("t", first + 1, config.target_tokens)
-    start = F.length(F.array_join(F.slice("t", 1, first), ""))
-    out = each.select(doc, "page_number", "chunk_index", start.alias("char_start"), F.size(piece).alias("token_count"), F.array_join(piece, "").alias("text"))
+    toks = toks.withColumn("starts", window_starts(F.size("t"), config))
+    lengths = F.transform("starts", lambda i: F.length(F.array_join(F.slice("t", i * stride + 1, stride), "")))
+    piece = lambda i: F.slice("t", i * stride + 1, config.target_tokens)
+    windows = F.transform("starts", lambda i: F.struct(i.alias("chunk_index"), F.size(piece(i)).alias("token_count"), F.array_join(piece(i), "").alias("text")))
+    each = toks.select(doc, "page_number", lengths.alias("lengths"), windows.alias("windows"))
+    begins = F.transform("windows", lambda w, i: F.struct(w.alias("w"), F.aggregate(F.slice("lengths", 1, i), F.lit(0), lambda s, n: s + n).alias("char_start")))
+    out = each.select(doc, "page_number", F.explode(begins).alias("e")).select(doc, "page_number", "e.w.chunk_index", "e.char_start", "e.w.token_count", "e.w.text")
     out = out.withColumn("char_end", F.col("char_start") + F.length("text"))
     return out.withColumn("chunk_uid", chunk_uid(F.col(doc), F.col("page_number"), F.col("chunk_index"), F.col("char_start"), F.col("char_end")))
 

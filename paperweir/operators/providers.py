@@ -83,7 +83,7 @@ def token_batches(counts: list[int], max_request: int = 32_000, max_input: int =
             if size and size >= batch_size:
                 batch, total, size = batch + 1, 0, 0
             if total + n > max_request:
-                raise ValueError("Batch exceeds max_request_tokens; reduce batch_size or max_request_tokens.")
+                raise ValueError(f"{batch_size} texts together have more than {max_request} tokens")
         elif size and total + n > max_request:
             batch, total, size = batch + 1, 0, 0
         out.append(batch)
@@ -92,23 +92,31 @@ def token_batches(counts: list[int], max_request: int = 32_000, max_input: int =
 
 
 def assign_batches(df: DataFrame, group: str, order: str, count: str, max_request: int = 32_000, max_input: int = 8_192) -> DataFrame:
-    """Rows of each group with `batch_id`, filled greedily in `order`.
+    """`group, order, batch_id` of every row, filled greedily in `order` within each group; a null count is none.
 
-    One fold over a group's token counts in the JVM: a request batch is made of one document's chunks, so a
-    group is the chunks of one document.
+    Filling is sequential, so the rows of a group go through one task, in order and a batch of them at a time: neither
+    memory nor time grows faster than their number.
     """
-    entry = F.struct(F.col(order).alias("o"), F.coalesce(F.col(count), F.lit(0)).cast("long").alias("c"))
-    lists = df.groupBy(group).agg(F.sort_array(F.collect_list(entry)).alias("xs"))
-    state = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("n"), F.array().cast(f"array<struct<o:{df.schema[order].dataType.simpleString()},b:bigint>>").alias("out"))
-
-    def add(s, x):
-        too_much = F.when((x["c"] > max_input) | (x["c"] > max_request), F.raise_error(F.concat(F.lit("a text exceeds the token limit: "), x["c"].cast("string"))).cast("long")).otherwise(F.lit(0).cast("long"))
-        flush = (s["n"] > 0) & (s["t"] + x["c"] > max_request)
-        b = F.when(flush, s["b"] + 1).otherwise(s["b"]) + too_much
-        return F.struct(b.alias("b"), (F.when(flush, F.lit(0).cast("long")).otherwise(s["t"]) + x["c"]).alias("t"), (F.when(flush, F.lit(0).cast("long")).otherwise(s["n"]) + 1).alias("n"), F.concat(s["out"], F.array(F.struct(x["o"].alias("o"), b.alias("b")))).alias("out"))
-
-    rows = lists.select(group, F.explode(F.aggregate("xs", state, add, lambda s: s["out"])).alias("r"))
-    return rows.select(group, F.col("r.o").alias(order), F.col("r.b").alias("batch_id"))
+    rows = df.select(group, order, F.coalesce(F.col(count), F.lit(0)).cast("long").alias("c")).repartition(group).sortWithinPartitions(group, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = object()
+        b = total = size = 0
+        for batch in batches:
+            ids = []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if n > max_input or n > max_request:
+                    raise ValueError(f"a text exceeds the token limit: {n}")
+                if g != now:
+                    now, b, total, size = g, 0, 0, 0
+                elif size and total + n > max_request:
+                    b, total, size = b + 1, 0, 0
+                ids.append(b)
+                total, size = total + n, size + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64())], [group, order, "batch_id"])
+
+    kinds = [df.schema[c].dataType.simpleString() for c in (group, order)]
+    return rows.mapInArrow(run, f"`{group}` {kinds[0]}, `{order}` {kinds[1]}, batch_id long")
 
 
 def embed(df: DataFrame, key: str, text: str, factory: Callable[[], EmbeddingProvider], batch: int = 256) -> DataFrame:
