@@ -1,12 +1,12 @@
-"""The engine: a folder of Parquet tables and what can be done with them.
+"""The engine: a folder of stored tables and what can be done with them.
 
-Tables: papers, chunks, vectors, query_log, embedding_cache, answer_cache. A change writes a table's next
-version beside the last and then points to it, so readers see one or the other.
+Tables: papers, chunks, vectors, query_log, embedding_cache, answer_cache, and an index of the chunks' words. A change
+writes the parts of a table that it touches; readers see one state or the other.
 """
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from paperweir import schemas
 from paperweir.operators import answering, chunking, citations, evalgen, evaluation, fulltext, fusion, providers, store, vectors
-from paperweir.session import cut
+from paperweir.session import cut, drop_cut, read_text, remove, write_text
 from paperweir.sources import files, remote
+from paperweir.sources.stored import StoredTable
 
+#: The key by which each table is divided, and into how many parts.
+KEYS = {"papers": ("paper_id", 16), "chunks": ("doc_id", 64), "vectors": ("doc_id", 64), "query_log": ("query_id", 1), "embedding_cache": ("query_text", 16), "answer_cache": ("query_text", 16)}
 MODES = ("fts", "vector", "hybrid")
 
 
@@ -53,83 +56,115 @@ class Engine:
 
     # tables
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        return path, path(self.home).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _current(self, name: str) -> str | None:
-        path, fs = self._fs()
-        folder = path(f"{self.home}/{name}")
-        if not fs.exists(folder):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(path(f"{s.getPath()}/_SUCCESS")))
-        return f"{self.home}/{name}/{done[-1]}" if done else None
+    def stored(self, name: str) -> StoredTable:
+        """A table by its name."""
+        key, parts = KEYS[name]
+        return StoredTable(self.spark, f"{self.home}/{name}", getattr(schemas, name.upper()), key, parts)
 
     def table(self, name: str) -> DataFrame:
-        """The last version of a table; one that was never written is empty."""
-        schema = getattr(schemas, name.upper())
-        at = self._current(name)
-        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+        """The rows of a table; one that was never written is empty."""
+        return self.stored(name).read()
 
-    def write(self, name: str, df: DataFrame) -> None:
-        """The next version of a table."""
-        df = schemas.conform(df, getattr(schemas, name.upper()))
-        df.write.parquet(f"{self.home}/{name}/v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+    def _upsert(self, name: str, new: DataFrame, keys: list[str], **how) -> None:
+        t = self.stored(name)
+        new = cut(new, name)
+        parts = t.parts_of(new)
+        t.replace(store.upsert(t.read(parts), new, keys, **how), parts)
+        drop_cut(new)
 
     # papers and documents
 
     def upsert_papers(self, rows: DataFrame) -> None:
         """New metadata in place of old; documents stay, the time of indexing is now."""
         new = store.latest(schemas.conform(rows, schemas.PAPERS), ["paper_id"], [F.desc_nulls_last("indexed_at"), F.asc_nulls_last("title")])
-        self.write("papers", store.upsert(self.table("papers"), new, ["paper_id"], keep=["doc_id"], refresh={"indexed_at": F.current_timestamp()}))
+        self._upsert("papers", new, ["paper_id"], keep=["doc_id"], refresh={"indexed_at": F.current_timestamp()})
 
-    def upsert_known(self, rows: DataFrame, folder: str) -> list[str]:
-        """As `upsert_papers`, for papers whose PDF is in the folder; returns PDFs without metadata."""
+    def upsert_known(self, rows: DataFrame, folder: str) -> DataFrame:
+        """As `upsert_papers`, for papers whose PDF is in the folder; returns PDFs without metadata (`paper_id`)."""
         have = files.pdf_files(self.spark, folder).select("paper_id")
         self.upsert_papers(rows.join(have, "paper_id", "left_semi"))
-        return [r[0] for r in have.join(self.table("papers").select("paper_id"), "paper_id", "left_anti").orderBy("paper_id").toLocalIterator()]
+        return have.join(self.table("papers").select("paper_id"), "paper_id", "left_anti")
 
-    def ingest(self, pages: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig()) -> dict[str, int]:
+    def ingest(self, pages: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig(), batch: tuple[str, int] | None = None) -> dict[str, int]:
         """Parsed pages (`paper_id, doc_id, path, page, text, warning, error`) to chunks, papers and stage counts.
 
-        Chunks of a paper are replaced when its document changed, those of a document always.
+        Chunks of a paper are replaced when its document changed, those of a document always. Only the parts that hold
+        these papers and documents are read and written. Two papers with one document are an error. A `batch`
+        `(stream, number)` that went in before changes nothing.
         """
         good = pages.where(F.col("error").isNull() & F.col("page").isNotNull())
-        docs = store.latest(good.select("paper_id", "doc_id", F.col("path").alias("pdf_path")).distinct(), ["doc_id"], ["paper_id", "pdf_path"])
+        docs = cut(store.latest(good.select("paper_id", "doc_id", F.col("path").alias("pdf_path")).distinct(), ["doc_id"], ["paper_id", "pdf_path"]), "docs")
+        kept, stored = self.stored("papers"), self.stored("chunks")
+        parts = kept.parts_of(docs)
+        papers = cut(kept.read(parts).join(docs.select("paper_id"), "paper_id", "left_semi"), "papers")
+        others = kept.read().select("doc_id", F.col("paper_id").alias("other")).join(docs.select("paper_id").withColumnRenamed("paper_id", "other"), "other", "left_anti")
+        if clash := others.join(docs.join(papers.select("paper_id"), "paper_id", "left_semi"), "doc_id").first():
+            raise ValueError(f"two papers with document {clash.doc_id}")
         made = chunking.chunk_pages(good.select("doc_id", "page", "text"), config=config).join(docs.select("doc_id", "paper_id"), "doc_id")
-        papers = self.table("papers")
-        known = made.join(papers.select("paper_id"), "paper_id", "left_semi")
-        old = self.table("chunks")
-        top = old.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-        new = schemas.conform(known, schemas.CHUNKS).withColumn("chunk_id", F.lit(top) + F.monotonically_increasing_id() + 1)
-        self.write("chunks", store.replace_versions(old, papers.select("paper_id", "doc_id"), new))
-        self.write("papers", store.assign_documents(papers, docs))
+        known = schemas.conform(made.join(papers.select("paper_id"), "paper_id", "left_semi"), schemas.CHUNKS).withColumn("chunk_id", stored.row_id())
+        was = papers.select("doc_id").where("doc_id is not null")
+        touched = stored.parts_of(docs.select("doc_id").unionByName(was))
+        stored.replace(store.replace_versions(stored.read(touched), papers.select("paper_id", "doc_id"), cut(known, "chunks")), touched, batch)
+        kept.replace(store.assign_documents(kept.read(parts), docs), parts, batch)
         unknown = docs.join(papers.select("paper_id"), "paper_id", "left_anti").count()
         return {"documents": docs.count(), "failed": pages.where(F.col("error").isNotNull()).count(), "unknown_papers": unknown, "chunks": self.table("chunks").count()}
 
-    def index(self, doc_ids: list[str] | None = None, limit: int | None = None, force_delete: bool = False, again: bool = False) -> int:
+    def index(self, doc_ids: list[str] | DataFrame | None = None, limit: int | None = None, force_delete: bool = False, again: bool = False) -> int:
         """Embeds chunks that have no vector under their uid (all of them if `again`) and drops vectors whose chunks are gone.
 
-        With a limit nothing is dropped unless forced. Returns the number of chunks read.
+        With a limit nothing is dropped unless forced. Returns the number of chunks read. Without a limit only the parts
+        of documents that have something to embed or to drop, or were asked for, are written.
         """
         if limit is not None and limit <= 0:
             raise ValueError("limit must be > 0")
-        chunks, old = self.table("chunks"), self.table("vectors")
+        chunks, stored = self.table("chunks"), self.stored("vectors")
         asked = None
         if doc_ids is not None:
-            asked = self.spark.createDataFrame([(d,) for d in dict.fromkeys(doc_ids)], "doc_id string")
+            asked = doc_ids if isinstance(doc_ids, DataFrame) else self.spark.createDataFrame([(d,) for d in dict.fromkeys(doc_ids)], "doc_id string")
             chunks = chunks.join(asked, "doc_id", "left_semi")
         if limit is not None:
             chunks = chunks.orderBy("chunk_id").limit(limit)
-        kept = old.join(chunks.select("chunk_uid"), "chunk_uid", "left_semi").select("chunk_uid", "embedding")
-        kept = kept.limit(0) if again else kept
-        todo = chunks.join(kept.select("chunk_uid"), "chunk_uid", "left_anti")
-        made = providers.embed(todo, "chunk_uid", "text", self.embedder)
-        new = schemas.conform(chunks.join(kept.unionByName(made), "chunk_uid"), schemas.VECTORS)
-        self.write("vectors", store.reindex(old, new, asked, limit is None or force_delete))
+        parts, old = None, stored.read()
+        if limit is None and not again:
+            uids = chunks.select("doc_id", "chunk_uid")
+            have = old.select("doc_id", "chunk_uid") if asked is None else old.select("doc_id", "chunk_uid").join(asked, "doc_id", "left_semi")
+            gone = have.join(uids, "chunk_uid", "left_anti") if asked is not None else have.join(uids, "chunk_uid", "left_anti").join(uids, "doc_id", "left_semi")
+            parts = stored.parts_of(uids.join(old.select("chunk_uid"), "chunk_uid", "left_anti").select("doc_id").unionByName(gone.select("doc_id")))
+            old = stored.read(parts)
+            inside = chunks.where(stored.part().isin(parts))
+        else:
+            inside = chunks
+        if parts != []:
+            kept = old.join(inside.select("chunk_uid"), "chunk_uid", "left_semi").select("chunk_uid", "embedding")
+            kept = kept.limit(0) if again else kept
+            todo = inside.join(kept.select("chunk_uid"), "chunk_uid", "left_anti")
+            made = providers.embed(todo, "chunk_uid", "text", self.embedder)
+            new = cut(schemas.conform(inside.join(kept.unionByName(made), "chunk_uid"), schemas.VECTORS), "vectors")  # a model is asked once
+            wanted = None if asked is None else asked.where(stored.part().isin(parts)) if parts is not None else asked
+            stored.replace(store.reindex(old, new, wanted, limit is None or force_delete), parts)
+            drop_cut(new)
         return chunks.count()
 
+    def text_index(self) -> tuple[DataFrame, DataFrame]:
+        """The stored index of the chunks' words, brought up to date where chunks came or went since."""
+        version, at = self.stored("chunks").version(), f"{self.home}/text_index"
+        saved = json.loads(read_text(self.spark, f"{at}/current.json") or "{}")
+        if saved.get("chunks") != version:
+            chunks = self.table("chunks").select("chunk_id", "text")
+            if saved:
+                old = fulltext.read_index(self.spark, f"{at}/{saved['at']}")
+                gone = old[1].join(chunks.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
+                index = fulltext.refresh(old, chunks.join(old[1].select("chunk_id"), "chunk_id", "left_anti"), "chunk_id", gone)
+            else:
+                index = fulltext.index_tables(chunks, "chunk_id")
+            name = f"v{version}-{uuid.uuid4().hex[:8]}"
+            fulltext.store_index(index, f"{at}/{name}")
+            write_text(self.spark, f"{at}/current.json", json.dumps({"chunks": version, "at": name}))
+            if saved:
+                remove(self.spark, f"{at}/{saved['at']}")
+            saved = {"at": name}
+        return fulltext.read_index(self.spark, f"{at}/{saved['at']}")
+
     def ingest_folder(self, folder: str, extractor: files.Extractor = files.plain_extractor, config: chunking.ChunkConfig = chunking.ChunkConfig(), remove_headers: bool = False, only: list[str] | None = None) -> dict[str, int]:
         """The newest PDF of each paper in a folder (of `only` these, if given), parsed, chunked and indexed: counts by stage.
 
@@ -140,11 +175,11 @@ class Engine:
             pdfs = pdfs.join(self.spark.createDataFrame([(i,) for i in only], "paper_id string"), "paper_id", "left_semi")
         pages = cut(files.extract_pages(pdfs, extractor), "pages")
         parsed = files.parse_pages(pages, remove_headers).unionByName(pages.where(F.col("error").isNotNull()).withColumn("removed", F.lit(0)))
-        before = self.table("papers").select("paper_id", "doc_id")
+        before = cut(self.table("papers").select("paper_id", "doc_id"), "before")
         counts = self.ingest(parsed, config)
         now = pages.where(F.col("doc_id").isNotNull()).select("paper_id", "doc_id").distinct()
         was = before.join(now.select("paper_id"), "paper_id", "left_semi").where(F.col("doc_id").isNotNull())
-        docs = [r[0] for r in now.select("doc_id").unionByName(was.select("doc_id")).distinct().toLocalIterator()]
+        docs = cut(now.select("doc_id").unionByName(was.select("doc_id")).distinct(), "docs")
         return {**counts, "warnings": pages.where(F.col("warning").isNotNull()).select("doc_id").distinct().count(), "indexed": self.index(docs)}
 
     def add_papers(self, ids: list[str], client: remote.PaperClient, get: Callable, fetch: remote.FetchConfig, **options) -> dict[str, int]:
@@ -173,7 +208,7 @@ class Engine:
         k = config.top_k * (config.candidate_multiplier if config.mode == "hybrid" else 1)
         lists = []
         if config.mode in ("fts", "hybrid") and config.fts_weight > 0:
-            got = fulltext.bm25_topk(questions, chunks.select("chunk_id", "text"), k)
+            got = fulltext.bm25_topk(questions, None, k, index=self.text_index())
             lists.append(got.select("query_id", F.lit("fts").alias("backend"), "rank", "chunk_id", F.col("score").alias("raw_score")))
         if config.mode in ("vector", "hybrid") and config.vector_weight > 0:
             asked = self.embed_queries(questions).withColumnRenamed("embedding", "vector")
@@ -195,7 +230,7 @@ class Engine:
         cache = self.table("embedding_cache")
         out, fresh = providers.embed_cached(questions, "query_id", "query", cache, self.model, self.embedder)
         out, fresh = out.select("query_id", "embedding"), fresh
-        self.write("embedding_cache", store.upsert(cache, fresh, ["query_text", "embedding_model"]))
+        self._upsert("embedding_cache", fresh, ["query_text", "embedding_model"])
         have = self.table("embedding_cache").where(F.col("embedding_model") == self.model)
         return questions.join(have.select(F.col("query_text").alias("query"), "embedding"), "query").select("query_id", F.col("embedding").cast("array<float>").alias("embedding"))
 
@@ -211,19 +246,20 @@ class Engine:
         rows = new.select(F.col("query").alias("query_text"), F.lit(self.model).alias("generation_model"), F.col("version").alias("prompt_version"), "chunk_uids_hash", F.col("answer").alias("answer_text"), F.current_timestamp().alias("created_at"))
         out = hits.where("hit").select("query_id", F.col("cached").alias("answer"), F.lit(None).cast("string").alias("error")).unionByName(got)
         keys = ["query_text", "generation_model", "prompt_version", "chunk_uids_hash"]
-        self.write("answer_cache", store.upsert(self.table("answer_cache"), store.latest(rows, keys, ["answer_text"]), keys))
+        self._upsert("answer_cache", store.latest(rows, keys, ["answer_text"]), keys)
         return out
 
     def verify(self, answers: DataFrame, pages: DataFrame) -> DataFrame:
         """Whether answers (`answer_id, answer`) stand on the pages (`paper_id, page_number, text`)."""
         return citations.verify(answers, self.table("papers"), pages)
 
-    def log(self, rows: DataFrame) -> None:
-        """Appends to the query log (`query_text, retrieved_chunks, answer, latency_ms, model`)."""
-        old = self.table("query_log")
-        top = old.agg(F.coalesce(F.max("query_id"), F.lit(0))).first()[0]
-        new = store.query_log_rows(rows).withColumn("query_id", F.lit(top) + F.monotonically_increasing_id() + 1).withColumn("timestamp", F.current_timestamp())
-        self.write("query_log", old.unionByName(schemas.conform(new, schemas.QUERY_LOG)))
+    def log(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
+        """Appends to the query log (`query_text, retrieved_chunks, answer, latency_ms, model`), without reading it.
+
+        A `batch` `(stream, number)` that was appended before is not appended again.
+        """
+        t = self.stored("query_log")
+        t.append(store.query_log_rows(rows).withColumn("query_id", t.row_id()).withColumn("timestamp", F.current_timestamp()), batch)
 
     # evaluation
 

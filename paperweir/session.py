@@ -72,6 +72,26 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(new, at)
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that must not be there yet; False if it is."""
+    at, fs = _fs(spark, path)
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        if fs.exists(at):
+            return False
+        raise e
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is not there."""
+    at, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file, or the one that was to take its place when the writer broke off; None without both."""
     for p in (path, f"{path}.new"):

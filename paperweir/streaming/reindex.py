@@ -13,20 +13,21 @@ from paperweir.operators.store import latest
 
 def reindex_stream(engine: Engine, pages: DataFrame, checkpoint: str, config: ChunkConfig = ChunkConfig()) -> StreamingQuery:
     """Pages (`paper_id, doc_id, path, page, text, warning, error, seen`) as they come: the last document of a paper wins
-    within a batch, chunks are replaced by version and only touched documents are embedded anew."""
+    within a batch, chunks are replaced by version and only touched documents are embedded anew. A batch that comes again
+    changes nothing."""
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         last = latest(batch.select("paper_id", "doc_id", "seen").distinct(), ["paper_id"], [F.desc_nulls_last("seen"), "doc_id"])
         rows = batch.join(last.select("paper_id", "doc_id"), ["paper_id", "doc_id"], "left_semi")
-        engine.ingest(rows, config)
+        engine.ingest(rows, config, (checkpoint, number))
         engine.index()
 
     return pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def log_stream(engine: Engine, rows: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Log rows (`query_text, retrieved_chunks, answer, latency_ms, model`) as they come."""
-    return rows.writeStream.foreachBatch(lambda b, _: engine.log(b)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Log rows (`query_text, retrieved_chunks, answer, latency_ms, model`) as they come, each batch once."""
+    return rows.writeStream.foreachBatch(lambda batch, number: engine.log(batch, (checkpoint, number))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity(rows: DataFrame, at: str = "logged_at", late: str = "1 hour", width: str = "1 day") -> DataFrame:
