@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import time
+from collections.abc import Callable
 from datetime import date
 from pathlib import Path
 
@@ -13,10 +14,29 @@ from pyspark.sql import functions as F
 
 from paperweir.engine import Engine, SearchConfig
 from paperweir.functions.text import snippet
+from paperweir.operators import evalgen
+from paperweir.operators.answering import AnswerConfig
 from paperweir.operators.evaluation import report_markdown
 from paperweir.operators.chunking import ChunkConfig
 from paperweir.session import build_session
-from paperweir.sources import files
+from paperweir.sources import files, remote
+
+
+def _answer_options(q: argparse.ArgumentParser) -> None:
+    """How answers are made: which stages run around the model."""
+    q.add_argument("--generate", action="store_true")
+    q.add_argument("--generation-rerank", choices=("none", "lexical"), default="none")
+    q.add_argument("--generation-select-evidence", action="store_true")
+    q.add_argument("--generation-select-k", type=int, default=3)
+    q.add_argument("--generation-quote-first", action="store_true")
+    q.add_argument("--generation-cite-chunk-index", action="store_true")
+    q.add_argument("--generation-repair-citations", action="store_true")
+    q.add_argument("--generation-repair-max-attempts", type=int, default=1)
+    q.add_argument("--generation-concurrency", type=int, default=4)
+
+
+def _answer_config(a: argparse.Namespace) -> AnswerConfig:
+    return AnswerConfig(a.generation_select_evidence, a.generation_select_k, a.generation_quote_first, a.generation_cite_chunk_index, a.generation_repair_citations, a.generation_repair_max_attempts, a.generation_concurrency)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,7 +53,8 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("--rrf-k", type=int, default=60)
         q.add_argument("--fts-weight", type=float, default=1.0)
         q.add_argument("--vector-weight", type=float, default=1.0)
-        q.add_argument("--generate", action="store_true")
+        _answer_options(q)
+        q.add_argument("--verify", metavar="PARSED", help="folder of parsed pages to hold the answer against")
         q.add_argument("--no-log", action="store_true", default=name == "sources")
         q.add_argument("--verbose", action="store_true", default=name == "sources")
     g = sub.add_parser("eval-generate")
@@ -42,12 +63,18 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--per-chunk", type=int, default=1)
     g.add_argument("--min-chars", type=int, default=200)
     g.add_argument("--seed", type=int, default=0)
+    g.add_argument("--openings-path", help="openings of questions, as a JSON list or lines; else a plan of the built-in ones")
+    g.add_argument("--prompt-path")
+    g.add_argument("--corpus-version", default="")
     r = sub.add_parser("eval-run")
     r.add_argument("eval_set")
     r.add_argument("--mode", default="hybrid")
     r.add_argument("--top-k", type=int, default=10)
+    r.add_argument("--rrf-k", type=int, default=60)
+    r.add_argument("--fts-weight", type=float, default=1.0)
+    r.add_argument("--vector-weight", type=float, default=1.0)
     r.add_argument("--generation-top-k", type=int, default=5)
-    r.add_argument("--generate", action="store_true")
+    _answer_options(r)
     r.add_argument("--report", default=None)
     i = sub.add_parser("ingest")
     i.add_argument("parsed", help="folder of PDFs or of parsed JSON")
@@ -59,6 +86,8 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--force-delete", action="store_true")
     x.add_argument("--force", action="store_true", help="embed all chunks again")
     x.add_argument("--rebuild", metavar="FOLDER", help="parse, chunk and index the PDFs of a folder")
+    x.add_argument("--add-ids", metavar="FILE", help="fetch, parse, chunk and index the papers of a list of identifiers")
+    x.add_argument("--pdf-dir", default="pdfs", help="where --add-ids puts PDFs")
     v = sub.add_parser("inspect")
     v.add_argument("--doc-id", action="append")
     c = sub.add_parser("check-ids")
@@ -68,7 +97,9 @@ def parser() -> argparse.ArgumentParser:
 
 def _query(e: Engine, a: argparse.Namespace) -> int:
     began = time.perf_counter()
-    config = SearchConfig(a.mode, a.top_k, a.rrf_k, a.fts_weight, a.vector_weight)
+    config, stages = SearchConfig(a.mode, a.top_k, a.rrf_k, a.fts_weight, a.vector_weight), _answer_config(a)
+    if a.verify and not a.generate:
+        raise ValueError("--verify goes with --generate only")
     asked = e.spark.createDataFrame([("q1", a.question)], "query_id string, query string")
     results, warnings = e.search(asked, config)
     rows = results.withColumn("line", snippet("text", a.snippet_chars)).orderBy("rank").collect()
@@ -78,7 +109,7 @@ def _query(e: Engine, a: argparse.Namespace) -> int:
         print(f"{r['rank']}. [{r.paper_id} p.{r.page_number}] {r.score:.4f} {r.line}")
         if a.verbose:
             print(json.dumps([p.asDict() for p in r.provenance]))
-    said = e.answer(results, a.top_k).first() if a.generate and rows else None
+    said = e.answer(results, a.top_k, a.generation_rerank == "lexical", stages).first() if a.generate and rows else None
     if said:
         print(said.answer or said.error)
     if not a.no_log:
@@ -88,22 +119,27 @@ def _query(e: Engine, a: argparse.Namespace) -> int:
             e.log(log)
         except Exception as err:  # noqa: BLE001
             print(f"not logged: {err}", file=sys.stderr)
+    if a.verify and said and said.answer:
+        checked = e.verify_parsed(e.spark.createDataFrame([("q1", said.answer)], "answer_id string, answer string"), a.verify).first()
+        print(f"verification: {' '.join([checked.status, *checked.codes])}")
+        return 0 if checked.status == "pass" else 1
     return 0
 
 
-def run(argv: list[str], engine: Engine | None = None) -> int:
-    """Runs one command."""
+def run(argv: list[str], engine: Engine | None = None, client: remote.PaperClient | None = None, get: Callable | None = None) -> int:
+    """Runs one command; `client` and `get` reach the service that `index --add-ids` asks."""
     a = parser().parse_args(argv)
     try:
         e = engine or Engine(build_session(), a.home)
         if a.command in ("query", "sources"):
             return _query(e, a)
         if a.command == "eval-generate":
-            made = e.make_eval_set(a.questions, per_chunk=a.per_chunk, min_chars=a.min_chars, seed=a.seed)
-            files.write_eval_set(made, a.output, date.today().isoformat())
+            openings = files.read_openings(a.openings_path) if a.openings_path else evalgen.openings_plan(a.questions, a.seed)
+            made = e.make_eval_set(a.questions, per_chunk=a.per_chunk, min_chars=a.min_chars, seed=a.seed, openings=openings, prompt_path=a.prompt_path)
+            files.write_eval_set(made, a.output, date.today().isoformat(), a.corpus_version)
         elif a.command == "eval-run":
             items, meta = files.read_eval_set(e.spark, a.eval_set)
-            per, summary, failed = e.evaluate(items, SearchConfig(a.mode, a.top_k), a.generate, min(a.generation_top_k, a.top_k))
+            per, summary, failed = e.evaluate(items, SearchConfig(a.mode, a.top_k, a.rrf_k, a.fts_weight, a.vector_weight), a.generate, min(a.generation_top_k, a.top_k), a.generation_rerank == "lexical", _answer_config(a))
             misses = [r.query_id for r in per.where(F.col("recall_at_5") == 0).orderBy("query_id").limit(5).collect()]
             said = report_markdown(summary.first().asDict(), failed.first().asDict(), misses, meta["created"])
             Path(a.report).write_text(said, encoding="utf-8") if a.report else print(said)
@@ -118,8 +154,14 @@ def run(argv: list[str], engine: Engine | None = None) -> int:
             print(json.dumps(counts))
             return 1 if counts["failed"] else 0
         elif a.command == "index":
-            if a.rebuild and (a.doc_id or a.limit):
-                raise ValueError("--rebuild goes with neither --doc-id nor --limit")
+            if (a.rebuild or a.add_ids) and (a.doc_id or a.limit) or a.rebuild and a.add_ids:
+                raise ValueError("--rebuild and --add-ids go with neither --doc-id nor --limit, nor with one another")
+            if a.add_ids:
+                if client is None or get is None:
+                    raise ValueError("no service for papers is set up")
+                counts = e.add_papers(files.read_ids(a.add_ids), client, get, remote.FetchConfig(a.pdf_dir))
+                print(json.dumps(counts))
+                return 1 if counts["failed"] or counts["unfetched"] or counts["invalid"] else 0
             if a.rebuild:
                 counts = e.ingest_folder(a.rebuild)
                 print(json.dumps(counts))

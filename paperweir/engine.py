@@ -41,11 +41,11 @@ class SearchConfig:
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if self.top_k <= 0 or self.rrf_k <= 0 or self.candidate_multiplier <= 0:
-            raise ValueError("top_k, rrf_k and candidate_multiplier must be > 0")
+            raise ValueError("numbers of results and candidates, and the constant of the fusion, must be > 0")
         if self.fts_weight < 0 or self.vector_weight < 0:
-            raise ValueError("weights must be >= 0")
+            raise ValueError("a weight must not be below 0")
         if self.fts_weight == 0 and self.vector_weight == 0:
-            raise ValueError("at least one weight must be > 0")
+            raise ValueError("one of the weights must be above 0")
 
 
 class Engine:
@@ -215,7 +215,7 @@ class Engine:
             have = self.table("vectors").join(chunks.select("chunk_uid", "chunk_id"), "chunk_uid")
             near = vectors.exact_topk(asked, have, k, config.metric, "query_id", "vector", "chunk_id", "embedding", self.dim)
             if not have.limit(1).count():
-                warnings.append("Vector search returned no results; check stored embeddings.")
+                warnings.append("no stored vector could be searched")
             lists.append(near.select("query_id", F.lit("vector").alias("backend"), "rank", "chunk_id", F.col("distance").alias("raw_score")))
         if config.mode == "hybrid":
             every = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
@@ -253,6 +253,15 @@ class Engine:
         """Whether answers (`answer_id, answer`) stand on the pages (`paper_id, page_number, text`)."""
         return citations.verify(answers, self.table("papers"), pages)
 
+    def verify_parsed(self, answers: DataFrame, folder: str) -> DataFrame:
+        """The same against a folder of parsed pages; the pages of stored chunks are those that may be cited."""
+        docs = self.table("papers").select("doc_id", "paper_id").where("doc_id is not null")
+        rows = files.read_parsed(self.spark, folder)
+        pages = rows.where("error is null").join(docs, "doc_id").select("paper_id", F.col("page").alias("page_number"), "text")
+        known = self.table("chunks").select("paper_id", "page_number").distinct()
+        broken = rows.where("error is not null").join(docs, "doc_id").select("paper_id")
+        return citations.verify(answers, self.table("papers"), pages, known_pages=known, broken_files=broken)
+
     def log(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Appends to the query log (`query_text, retrieved_chunks, answer, latency_ms, model`), without reading it.
 
@@ -267,13 +276,13 @@ class Engine:
         """Eval items from stored chunks."""
         return evalgen.generate_eval_set(self.table("chunks"), self.table("papers"), self.generator, n, **options)
 
-    def evaluate(self, items: DataFrame, config: SearchConfig = SearchConfig("hybrid", 10), answers: bool = False, generation_k: int = 5, rerank: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def evaluate(self, items: DataFrame, config: SearchConfig = SearchConfig("hybrid", 10), answers: bool = False, generation_k: int = 5, rerank: bool = True, answering_config: answering.AnswerConfig = answering.AnswerConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(per item, summary, failures) of an eval set (`query_id, query, ground_truth`), with answers if asked."""
         rows = items.withColumn("truth", F.col("ground_truth.chunk_uids"))
         results = cut(self.search(rows.select("query_id", "query"), config)[0], "results")
         per = evaluation.retrieval_metrics(results, rows)
         if answers:
-            said = self.answer(results, min(generation_k, config.top_k), rerank)
+            said = self.answer(results, min(generation_k, config.top_k), rerank, answering_config)
             fine = said.where(F.col("answer").isNotNull() & ~F.coalesce(citations.parse_error("answer"), F.lit(True)))
             cites = citations.parsed(fine, "query_id").select("query_id", "citation_id", "paper_id", "page_number")
             scores = evaluation.citation_scores(rows.join(fine.select("query_id"), "query_id", "left_semi"), cites, self.table("chunks"))

@@ -16,7 +16,7 @@ def _object(text: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(F.when(F.trim(text).startswith("{"), text), schema), F.from_json(F.when(inner != "", inner), schema))
 
 
-def selection_indices(text: Column | str, max_index: int) -> Column:
+def selection_indices(text: Column | str, max_index: Column | int) -> Column:
     """Distinct numbers of a selection within 1 and `max_index`, in order.
 
     Those under `selected`, numbers or digit strings; without any, every number in the text.
@@ -33,7 +33,7 @@ def evidence(indices: Column | str, most: int) -> Column:
     return F.slice(F.array_distinct(F.concat(F.array(F.lit(1)), F.coalesce(col(indices), F.array().cast("array<int>")))), 1, most)
 
 
-def quote_selection(text: Column | str, max_index: int) -> Column:
+def quote_selection(text: Column | str, max_index: Column | int) -> Column:
     """struct(chunk_index, quote) of a chosen quote, or null where index or quote is not usable."""
     o = _object(col(text), "chunk_index string, quote string")
     index, quote = o["chunk_index"].try_cast("int"), normalize_space(o["quote"])

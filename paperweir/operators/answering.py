@@ -27,6 +27,12 @@ class AnswerConfig:
     repair_attempts: int = 1
     concurrency: int = 4
 
+    def __post_init__(self) -> None:
+        if self.select_k <= 0 or self.repair_attempts <= 0 or self.concurrency <= 0:
+            raise ValueError("select_k, repair_attempts and concurrency must be > 0")
+        if self.cite_chunks and self.quote_first:
+            raise ValueError("citations by chunk number and quote-first answers exclude one another")
+
     def version(self):
         """What answers are cached under."""
         names = ["generate"] + ["select_evidence"] * self.select_evidence + ["select_quote", "quote_first"] * self.quote_first + ["cite_chunks"] * self.cite_chunks + ["repair"] * self.repair
@@ -65,14 +71,15 @@ def generate_answers(questions: DataFrame, context: DataFrame, factory: Callable
         p = prompting.format_chunks(ctx).join(q, "query_id")
         said = _ask(p.withColumn("prompt", prompting.render(read_prompt("select_evidence"), chunks="chunks", query="query", max_chunks=F.lit(str(config.select_k)))), factory, config)
         most = ctx.groupBy("query_id").agg(F.max("rank").alias("most"))
-        chosen = said.join(most, "query_id").select("query_id", F.explode(evidence(F.filter(selection_indices(F.coalesce("answer", F.lit("")), 10_000), lambda i: i <= F.col("most")), config.select_k)).alias("rank"))
+        chosen = said.join(most, "query_id").select("query_id", F.explode(evidence(selection_indices(F.coalesce("answer", F.lit("")), F.col("most")), config.select_k)).alias("rank"))
         ctx = cut(ctx.join(chosen, ["query_id", "rank"], "left_semi"), "context")
     p = cut(prompting.format_chunks(ctx).join(q, "query_id"), "prompts")
     template = read_prompt("cite_chunks" if config.cite_chunks else "generate")
     prompt = prompting.render(template, chunks="chunks")
     if config.quote_first:
         said = _ask(p.withColumn("prompt", prompting.render(read_prompt("select_quote"), chunks="chunks", query="query")), factory, config)
-        picked = said.select("query_id", quote_selection(F.coalesce("answer", F.lit("")), 10_000).alias("s")).where("s is not null").select("query_id", F.col("s.chunk_index").alias("rank"), F.col("s.quote").alias("quote"))
+        last = ctx.groupBy("query_id").agg(F.max("rank").alias("last"))
+        picked = said.join(last, "query_id").select("query_id", quote_selection(F.coalesce("answer", F.lit("")), F.col("last")).alias("s")).where("s is not null").select("query_id", F.col("s.chunk_index").alias("rank"), F.col("s.quote").alias("quote"))
         held = picked.join(ctx.select("query_id", "rank", "text"), ["query_id", "rank"]).where(F.contains(F.lower(normalize_space("text")), F.lower("quote"))).select("query_id", "quote")
         p = p.join(held, "query_id", "left")
         prompt = F.when(F.col("quote").isNull(), prompt).otherwise(prompting.render(read_prompt("quote_first"), chunks="chunks", query="query", quote="quote"))

@@ -33,7 +33,8 @@ def malformed(answer: Column | str) -> Column:
 
 def _tails(answer: Column) -> Column:
     """The text behind each citation, up to the next."""
-    return F.slice(F.split(answer, CITATION), 2, 1_000_000)
+    parts = F.split(answer, CITATION)
+    return F.slice(parts, 2, F.size(parts))
 
 
 def parsed(answers: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
@@ -64,22 +65,50 @@ def needs_repair(answer: Column | str) -> Column:
     return F.when(blank, False).otherwise(parse_error(a) | (F.size(citation_texts(a)) == 0) | unquoted)
 
 
-def paragraphs(answers: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
-    """`key, paragraph_index, text, n_citations`: parts between blank lines that hold text."""
-    parts = F.filter(F.split(F.col(answer), r"\n\s*\n+"), lambda p: normalize_space(p) != "")
-    rows = answers.where(F.col(answer).isNotNull()).select(key, F.posexplode(parts).alias("paragraph_index", "part"))
-    return rows.select(key, "paragraph_index", normalize_space("part").alias("text"), F.size(citation_texts("part")).alias("n_citations"))
+#: Stands between sentences while they are divided; no character of any text (a noncharacter of Unicode).
+_BETWEEN = "\uffff"
 
 
-def sentence_map(answers: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
-    """`key, sentence_index, text, citations`: sentences of the answer in one line and the citations within each.
+def _spans(text: Column, parts: Column, gaps: Column) -> Column:
+    """Parts with their places, from the parts and the lengths of what stands behind each: `part, start, end`."""
+    steps = F.transform(parts, lambda p, i: F.length(p) + F.coalesce(F.get(gaps, i), F.lit(0)))
+    return F.transform(parts, lambda p, i: F.struct(p.alias("part"), F.aggregate(F.slice(steps, 1, i), F.lit(0), lambda s, n: s + n).alias("start")))
+
+
+def paragraph_spans(answers: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
+    """`key, paragraph_index, text, start_char, end_char, part`: parts between blank lines that hold text.
+
+    Places count code points of the answer as it is, `part` is what stands there, `text` the same in one line. Null and
+    blank answers have none.
+    """
+    a, blank = F.col(answer), r"\n\s*\n+"
+    gaps = F.transform(F.regexp_extract_all(a, F.lit(blank), F.lit(0)), lambda g: F.length(g))
+    found = F.filter(_spans(a, F.split(a, blank), gaps), lambda s: normalize_space(s["part"]) != "")
+    rows = answers.where(a.isNotNull()).select(key, F.posexplode(found).alias("paragraph_index", "s"))
+    return rows.select(key, "paragraph_index", normalize_space("s.part").alias("text"), F.col("s.start").alias("start_char"), (F.col("s.start") + F.length("s.part")).alias("end_char"), F.col("s.part").alias("part"))
+
+
+def sentence_spans(answers: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
+    """`key, sentence_index, text, start_char, end_char`: sentences of the answer in one line and their places in that line.
 
     A sentence ends at a full stop, question or exclamation mark with quotes or asterisks behind it, before a
     blank and a capital, digit or opening bracket.
     """
-    parts = F.split(normalize_space(answer), r"""(?<=[.!?]["'*]{0,8})\s+(?=[\p{Lu}\p{Nd}\[])""")
-    rows = answers.where(F.coalesce(normalize_space(answer), F.lit("")) != "").select(key, F.posexplode(parts).alias("sentence_index", "text"))
-    rows = rows.withColumn("k", F.size(citation_texts("text")))
+    line = normalize_space(answer)
+    parts = F.split(F.regexp_replace(line, r"""([.!?]["'*]*) (?=[\p{Lu}\p{Nd}\[])""", "$1" + _BETWEEN), _BETWEEN)
+    found = _spans(line, parts, F.transform(parts, lambda _: F.lit(1)))
+    rows = answers.where(F.coalesce(line, F.lit("")) != "").select(key, F.posexplode(found).alias("sentence_index", "s"))
+    return rows.select(key, "sentence_index", F.col("s.part").alias("text"), F.col("s.start").alias("start_char"), (F.col("s.start") + F.length("s.part")).alias("end_char"))
+
+
+def paragraphs(answers: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
+    """`key, paragraph_index, text, n_citations`: parts between blank lines that hold text."""
+    return paragraph_spans(answers, key, answer).select(key, "paragraph_index", "text", F.size(citation_texts("part")).alias("n_citations"))
+
+
+def sentence_map(answers: DataFrame, key: str = "answer_id", answer: str = "answer") -> DataFrame:
+    """`key, sentence_index, text, citations`: sentences of the answer in one line and the citations within each."""
+    rows = sentence_spans(answers, key, answer).select(key, "sentence_index", "text").withColumn("k", F.size(citation_texts("text")))
     w = Window.partitionBy(key).orderBy("sentence_index").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("k").over(w), F.lit(0)).cast("int")
     numbers = F.when(F.col("k") > 0, F.transform(F.sequence(before + 1, before + F.col("k")), lambda i: F.concat(F.lit("c"), i))).otherwise(F.array().cast("array<string>"))

@@ -107,6 +107,7 @@ def question_filter(items: DataFrame, key: str = "query_id") -> DataFrame:
     """
     w = Window.partitionBy(question_key("question")).orderBy(key)
     rows = items.withColumn("n", F.row_number().over(w))
+    # The reasons, which are part of the result.
     reason = (
         F.when(F.col("n") > 1, "duplicate question in eval set")
         .when(names_excerpt("question"), "question is not standalone")
@@ -120,11 +121,6 @@ def candidates(chunks: DataFrame, min_chars: int = 200, uid: str = "chunk_uid")
     return chunks.where((F.length("text") >= min_chars) & ~is_reference_like("text"))
 
 
-def seeded_order(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """Rows with `ord`, their place in an order that the seed fixes, whatever the partitions."""
-    return df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("ord", F.row_number().over(Window.orderBy("_h", key))).drop("_h")
-
-
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """`n` rows drawn by the seed: a sort of n rows a partition, not of all."""
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

@@ -41,9 +41,9 @@ def rrf(lists: DataFrame, k: int, weights: dict[str, float], rrf_k: int = 60, ke
 def lexical_score(query: Column | str, text: Column | str, rank: Column | str, lexical_weight: float = 0.7, rank_weight: float = 0.3) -> Column:
     """Share of the query's words in the text and reciprocal rank, weighted. A query without words leaves the ranks."""
     if lexical_weight < 0 or rank_weight < 0:
-        raise ValueError("rerank weights must be >= 0")
+        raise ValueError("weights of the rerank must be >= 0")
     if lexical_weight == 0 and rank_weight == 0:
-        raise ValueError("rerank weights cannot both be zero")
+        raise ValueError("one weight of the rerank must be > 0")
     q = rerank_tokens(query)
     r = F.col(rank) if isinstance(rank, str) else rank
     overlap = F.size(F.array_intersect(q, rerank_tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))) / F.size(q)
@@ -61,18 +61,3 @@ def generation_context(results: DataFrame, k: int, reranked: bool = True, key: s
     """The first k results of a question, after reranking all of them if asked."""
     ordered = rerank(results, key) if reranked else results.withColumn("new_rank", F.col("rank"))
     return ordered.where(F.col("new_rank") <= k)
-
-
-def interleave(groups: list[list[str]], count: int, seed: int, rounds: int = 2) -> list[str]:
-    """Openings in turn from shuffled groups; one round holds each opening once."""
-    import random
-
-    per_round = sum(map(len, groups))
-    if count > rounds * per_round:
-        raise ValueError(f"at most {rounds * per_round} openings")
-    rng, out = random.Random(seed), []
-    while len(out) < count:
-        piles = [rng.sample(g, len(g)) for g in groups]
-        while any(piles):
-            out += [p.pop() for p in piles if p]
-    return out[:count]

@@ -29,7 +29,7 @@ def render(template: str, **values: Column | str) -> Column:
     """The template with each `{name}` replaced by a column; a name that it lacks is an error."""
     for name in values:
         if "{" + name + "}" not in template:
-            raise ValueError(f"Prompt template missing '{{{name}}}' placeholder")
+            raise ValueError(f"the prompt has no place for {name}")
     # one pass: values are not searched for placeholders
     out: list[Column] = []
     rest = template

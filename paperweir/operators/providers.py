@@ -34,7 +34,7 @@ class GenerationProvider(Protocol):
 
 
 class HashedWords:
-    """A stand-in: words hashed into a vector of unit length."""
+    """A stand-in: words hashed into a vector of unit length; the first digits of a word's MD5 are its place, the ninth the sign."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -45,8 +45,8 @@ class HashedWords:
         out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
             for w in re.findall(r"\w+", t.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+                h = hashlib.md5(w.encode()).hexdigest()
+                out[i, int(h[:8], 16) % self.dim] += 1 if h[8] > "7" else -1
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(n == 0, 1, n)).tolist()
 

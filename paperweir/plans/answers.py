@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweir.functions import json_text, text
-from paperweir.operators import citations, prompting, providers
+from paperweir.operators import citations, evalgen, prompting, providers
 from paperweir.plans import base
 from paperweir.sources.tables import table
 
@@ -76,6 +76,30 @@ def sentence_map(spark: SparkSession, d: str) -> DataFrame:
     return citations.sentence_map(_answers(spark, d)).withColumn("citations", F.array_join("citations", ","))
 
 
+def paragraph_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the paragraphs of every answer."""
+    return citations.paragraph_spans(_answers(spark, d)).select("answer_id", "paragraph_index", "start_char", "end_char", F.sha1("text").alias("text_sha1"))
+
+
+def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Places of the sentences of every answer, in the answer in one line."""
+    return citations.sentence_spans(_answers(spark, d)).select("answer_id", "sentence_index", "start_char", "end_char", F.sha1("text").alias("text_sha1"))
+
+
+def openings_plan(spark: SparkSession, d: str) -> DataFrame:
+    """All openings that questions can be given, in their turn, for each of three seeds."""
+    return spark.createDataFrame([(seed, i, o) for seed in range(3) for i, o in enumerate(evalgen.openings_plan(evalgen.ROUNDS * sum(map(len, evalgen.OPENINGS)), seed), 1)], "seed int, pos int, opening string")
+
+
+def questions_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Questions read from outputs that are a list, a list within prose, or an object; one in five has no answer and is dropped."""
+    c = base.chunks(spark, d).select("chunk_id", "token_count", F.coalesce(F.col("chunk_index").cast("string"), F.lit("0")).alias("i"))
+    answer = F.when(F.col("chunk_id") % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit("A "), F.col("i")))
+    one = F.concat(F.lit('{"question": " Q '), F.col("i"), F.lit('? ", "expected_answer": "'), answer, F.lit('", "difficulty": "Factual"}, {"question": "Why?", "expected_answer": "So.", "difficulty": "hard"}'))
+    said = F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("["), one, F.lit("]"))).when(F.col("chunk_id") % 3 == 1, F.concat(F.lit("Here they are: ["), one, F.lit("] I hope it helps"))).otherwise(F.concat(F.lit('{"items": ['), one, F.lit("]}")))
+    return c.select("chunk_id", F.explode(json_text.generated_questions(said)).alias("q")).select("chunk_id", "q.question", "q.expected_answer", "q.difficulty")
+
+
 def verify_report(spark: SparkSession, d: str) -> DataFrame:
     """Whether every answer stands, and what is wrong if not."""
     papers = table(spark, d, "papers").select("paper_id")
@@ -134,7 +158,7 @@ def answer_stub(spark: SparkSession, d: str) -> DataFrame:
 def embed_stub(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the stand-in model for every chunk."""
     out = providers.embed(base.chunks(spark, d), "chunk_id", "text", providers.HashedWords)
-    return out.select("chunk_id", F.size("embedding").alias("dims"))
+    return out.select("chunk_id", F.posexplode("embedding").alias("place", "value")).where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 _FLAT, _PAPER = text.sql_normalize("text"), text.sql_strip("paper_id")
@@ -164,12 +188,30 @@ CONTEXT = f"""{base.SQL_CHUNKS}, ctx AS (SELECT a.chunk_id AS answer_id, row_num
 _CHUNK_LOW = f"lower({text.sql_normalize('c.text')})"
 _HAVE = f"[w FOR w IN regexp_extract_all({_CHUNK_LOW}, '[a-z0-9]+') IF length(w) >= 2]"
 
+_GAPS = r"regexp_extract_all(answer, '\n\s*\n+')"
+_ALL = r"string_split_regex(answer, '\n\s*\n+')"
+_OPENINGS = ", ".join(f"({g}, '{o}')" for g, group in enumerate(evalgen.OPENINGS) for o in group)
+_EMBED_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+
 SQL = {
+    "paragraph_spans": f"""WITH {ANSWERS}, g AS (SELECT answer_id, {_ALL} AS ps, {_GAPS} AS gs FROM ans), p AS (SELECT answer_id, unnest(ps) AS part, unnest(range(len(ps))) AS i, ps, gs FROM g),
+      s AS (SELECT answer_id, part, i, coalesce(list_sum([length(ps[k + 1]) + length(gs[k + 1]) FOR k IN range(i)]), 0) AS start_char FROM p WHERE {text.sql_normalize('part')} <> '')
+      SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY i) - 1 AS paragraph_index, start_char, start_char + length(part) AS end_char, sha1({text.sql_normalize('part')}) AS text_sha1 FROM s""",
+    "sentence_spans": f"""WITH {ANSWERS}, n AS (SELECT answer_id, {text.sql_normalize('answer')} AS t FROM ans), p AS (SELECT answer_id, string_split(regexp_replace(t, '([.!?]["''*]*) ([\\p{{Lu}}\\p{{Nd}}\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM n WHERE t <> ''),
+      s AS (SELECT answer_id, unnest(ps) AS text, unnest(range(len(ps))) AS sentence_index, ps FROM p)
+      SELECT answer_id, sentence_index, coalesce(list_sum([length(ps[k + 1]) + 1 FOR k IN range(sentence_index)]), 0) AS start_char, coalesce(list_sum([length(ps[k + 1]) + 1 FOR k IN range(sentence_index)]), 0) + length(text) AS end_char, sha1(text) AS text_sha1 FROM s""",
+    "openings_plan": f"""WITH o AS (SELECT * FROM (VALUES {_OPENINGS}) v(g, opening)), r AS (SELECT s.seed, r.round, g, opening, row_number() OVER (PARTITION BY s.seed, r.round, g ORDER BY md5(s.seed || ':' || r.round || ':' || opening)) AS i FROM o, (SELECT unnest(range(3)) AS seed) s, (SELECT unnest(range({evalgen.ROUNDS})) AS round) r)
+      SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY round, i, g) AS pos, opening FROM r""",
+    "questions_parse": f"WITH {base.SQL_CHUNKS} SELECT chunk_id, 'Q ' || coalesce(chunk_index, 0) || '?' AS question, 'A ' || coalesce(chunk_index, 0) AS expected_answer, 'factual' AS difficulty FROM uchunks WHERE chunk_id % 5 <> 0",
+    "embed_stub": f"""WITH {base.SQL_CHUNKS}, w AS (SELECT chunk_id, md5(unnest({_EMBED_WORDS})) AS h FROM uchunks), d AS (SELECT chunk_id, CAST(('0x' || h[1:8]) AS BIGINT) % 64 AS place, sum(CASE WHEN h[9] > '7' THEN 1.0 ELSE -1.0 END) AS s FROM w GROUP BY ALL),
+      n AS (SELECT chunk_id, sqrt(CAST(sum(s * s) AS DOUBLE)) AS n FROM d GROUP BY 1) SELECT d.chunk_id, place, round(CAST(CAST(s / n AS FLOAT) AS DOUBLE), 5) AS value FROM d JOIN n ON d.chunk_id = n.chunk_id WHERE s <> 0""",
+    "answer_stub": f"""WITH {base.SQL_ITEMS}, {base.SQL_CHUNKS}, p AS (SELECT i.query_id, i.query, '[arXiv:' || trim(c.paper_id, ' ') || ' p.' || c.page_number || '] ' || c.text AS prompt FROM items i JOIN uchunks c ON i.truth[1] = c.chunk_uid)
+      SELECT query_id, CASE WHEN regexp_matches(prompt, '\\[arXiv:\\S+ p\\.\\d+\\]') THEN query || ' ' || regexp_extract(prompt, '\\[arXiv:\\S+ p\\.\\d+\\]') || ' *"' || array_to_string(string_split({text.sql_normalize("substring(prompt, instr(prompt, regexp_extract(prompt, '\\[arXiv:\\S+ p\\.\\d+\\]')) + length(regexp_extract(prompt, '\\[arXiv:\\S+ p\\.\\d+\\]')))")}, ' ')[1:8], ' ') || '"*' ELSE 'I do not know.' END AS answer, CAST(NULL AS VARCHAR) AS error FROM p""",
     "citation_parse": f"WITH {PARSED} SELECT answer_id, citation_id, paper_id, page_number, quote FROM par",
     "citation_malformed": f"WITH {ANSWERS} SELECT answer_id, len({_ODD}) + {_DOUBLE} AS n_malformed, {_BROKEN} OR len(regexp_extract_all(answer, '{_C}')) = 0 OR {_UNQUOTED} AS needs_repair FROM ans",
     "quote_locate": f"WITH {LOCATED} SELECT answer_id, citation_id, has_page, quote_start, quote_end FROM loc",
     "paragraph_coverage": f"WITH {ANSWERS}, x AS (SELECT answer_id, unnest({_PARTS}) AS part, unnest(range(len({_PARTS}))) AS paragraph_index FROM ans) SELECT answer_id, paragraph_index, sha1({text.sql_normalize('part')}) AS text_sha1, len(regexp_extract_all(part, '{_C}')) AS n_citations FROM x",
-    "sentence_map": f"""WITH {ANSWERS}, n AS (SELECT answer_id, {text.sql_normalize('answer')} AS t FROM ans), p AS (SELECT answer_id, string_split(regexp_replace(t, '([.!?]["''*]{{0,8}}) ([\\p{{Lu}}\\p{{Nd}}\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM n WHERE t <> ''),
+    "sentence_map": f"""WITH {ANSWERS}, n AS (SELECT answer_id, {text.sql_normalize('answer')} AS t FROM ans), p AS (SELECT answer_id, string_split(regexp_replace(t, '([.!?]["''*]*) ([\\p{{Lu}}\\p{{Nd}}\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM n WHERE t <> ''),
       s AS (SELECT answer_id, unnest(ps) AS text, unnest(range(len(ps))) AS sentence_index FROM p), k AS (SELECT *, len(regexp_extract_all(text, '{_C}')) AS k FROM s),
       b AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY answer_id ORDER BY sentence_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM k)
       SELECT answer_id, sentence_index, text, array_to_string(['c' || i FOR i IN range(CAST(b + 1 AS BIGINT), CAST(b + k + 1 AS BIGINT))], ',') AS citations FROM b""",
@@ -214,6 +256,10 @@ QUERIES = {
     "answer_keys": answer_keys,
     "selection_parse": selection_parse,
     "prompts": prompts,
+    "paragraph_spans": paragraph_spans,
+    "sentence_spans": sentence_spans,
+    "openings_plan": openings_plan,
+    "questions_parse": questions_parse,
     "answer_stub": answer_stub,
     "embed_stub": embed_stub,
 }

@@ -139,8 +139,9 @@ def context_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Papers of the eval set that are not there."""
-    return evaluation.coverage(base.items(spark, d).select(F.col("ground_truth.papers").alias("papers")), base.papers(spark, d))
+    """Papers that the eval set and the chunks name, as they write them, and that are not there."""
+    named = base.items(spark, d).select(F.col("ground_truth.papers").alias("papers")).unionByName(table(spark, d, "chunks").select(F.array("paper_id").alias("papers")))
+    return evaluation.coverage(named, base.papers(spark, d))
 
 
 BM25 = f"""{texts.COMPILE}, {texts.TOKENS},
@@ -207,7 +208,7 @@ SQL = {
       SELECT i.query_id, EXISTS (SELECT 1 FROM ctx WHERE ctx.query_id = i.query_id AND list_contains([u FOR u IN i.truth IF u IS NOT NULL AND u <> ''], ctx.chunk_uid)) AS ground_truth_in_context,
         (SELECT count(*) FROM ci WHERE ci.query_id = i.query_id AND EXISTS (SELECT 1 FROM ctx WHERE ctx.query_id = ci.query_id AND ctx.paper_id = ci.paper_id AND ctx.page_number = ci.page_number)) AS citations_in_context,
         (SELECT count(*) FROM ci WHERE ci.query_id = i.query_id AND NOT EXISTS (SELECT 1 FROM ctx WHERE ctx.query_id = ci.query_id AND ctx.paper_id = ci.paper_id AND ctx.page_number = ci.page_number)) AS citations_outside_context FROM items i""",
-    "coverage": f"WITH {base.SQL_ITEMS} SELECT DISTINCT p AS missing_paper FROM (SELECT unnest(ground_truth.papers) AS p FROM items) WHERE p IS NOT NULL AND p NOT IN (SELECT paper_id FROM papers WHERE paper_id IS NOT NULL)",
+    "coverage": f"WITH {base.SQL_ITEMS} SELECT DISTINCT p AS missing_paper FROM (SELECT unnest(ground_truth.papers) AS p FROM items UNION ALL SELECT paper_id FROM chunks) WHERE p IS NOT NULL AND p NOT IN (SELECT paper_id FROM papers WHERE paper_id IS NOT NULL)",
 }
 QUERIES = {
     "bm25_topk": bm25_topk,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from pathlib import Path
@@ -47,6 +49,32 @@ class Response(Protocol):
     def parts(self) -> Iterable[bytes]: ...
 
 
+class _Reply:
+    """A reply of urllib as a Response."""
+
+    def __init__(self, status: int, headers: dict[str, str], body) -> None:
+        self.status, self.headers, self.body = status, headers, body
+
+    def parts(self) -> Iterable[bytes]:
+        """The body in pieces."""
+        while piece := self.body.read(1 << 16):
+            yield piece
+
+
+def url_fetcher(config: FetchConfig, address: Callable[[str], str]) -> Callable[[str], Response]:
+    """A fetcher that asks `address(identifier)` with the timeout and user agent of the settings."""
+
+    def get(one: str) -> Response:
+        request = urllib.request.Request(address(one), headers={"User-Agent": config.user_agent})
+        try:
+            reply = urllib.request.urlopen(request, timeout=config.timeout_seconds)  # noqa: S310
+        except urllib.error.HTTPError as e:
+            return _Reply(e.code, dict(e.headers), e)
+        return _Reply(reply.status, dict(reply.headers), reply)
+
+    return get
+
+
 def search(spark: SparkSession, client: PaperClient, query: str, max_results: int = 10, sort: str = "relevance") -> DataFrame:
     """Found papers under their base identifiers."""
     if sort not in SORTS:
@@ -64,16 +92,20 @@ def metadata(spark: SparkSession, client: PaperClient, ids: list[str]) -> DataFr
 def download(config: FetchConfig, ids: list[str], get: Callable[[str], Response], wait: Callable[[float], None] = time.sleep) -> dict[str, str]:
     """Fetches PDFs into the folder: identifier to `exists`, `fetched` or what went wrong.
 
-    A file is written as `.part` and renamed when whole; a service that asks for patience (429) gets what its
+    One at a time, with `delay_seconds` between two, since services ask for it. A file is written as `.part` and renamed when whole; a service that asks for patience (429) gets what its
     Retry-After says, other failures 1, 2, 4 ... seconds.
     """
     Path(config.folder).mkdir(parents=True, exist_ok=True)
     out: dict[str, str] = {}
+    asked = False
     for one in dict.fromkeys(ids):
         target = Path(config.folder) / f"{one.replace('/', '_')}.pdf"
         if target.exists():
             out[one] = "exists"
             continue
+        if asked and config.delay_seconds > 0:
+            wait(config.delay_seconds)
+        asked = True
         part = target.with_suffix(".part")
         for attempt in range(config.retries + 1):
             pause = float(2**attempt)

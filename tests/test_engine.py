@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import sys
 
 import pytest
@@ -18,11 +19,12 @@ PAGES = "paper_id string, doc_id string, path string, page int, text string, war
 
 
 class Questions:
-    """A stand-in that makes one question of each passage."""
+    """A stand-in that makes one question of each passage, with the opening it is given."""
 
     def generate(self, prompt, query):
         words = prompt.rsplit("Passage:", 1)[1].split()
-        return '[{"question": "What about %s?", "expected_answer": "%s", "difficulty": "factual"}]' % (words[0], " ".join(words[:6]).replace('"', ""))
+        opening = re.search(r"^1\\. (.+)$", prompt, re.M)
+        return '[{"question": "%s about %s?", "expected_answer": "%s", "difficulty": "factual"}]' % (opening.group(1) if opening else "What", words[0], " ".join(words[:6]).replace('"', ""))
 
 
 class Picky(providers.FirstChunk):
@@ -120,7 +122,7 @@ def test_add_papers(spark, tmp_path):
 
     bodies = {"2401.00001": "First page words.\fSecond page words.", "cs.DS/0101001": "Old style words.", "2401.00009": ""}
     e = Engine(spark, str(tmp_path / "home"))
-    got = e.add_papers(["2401.00001v2", "cs.DS/0101001", "2401.00009", "nonsense"], Library(), lambda i: Body(bodies[i]), FetchConfig(str(tmp_path / "pdf")))
+    got = e.add_papers(["2401.00001v2", "cs.DS/0101001", "2401.00009", "nonsense"], Library(), lambda i: Body(bodies[i]), FetchConfig(str(tmp_path / "pdf"), delay_seconds=0))
     assert (got["requested"], got["invalid"], got["unfetched"], got["documents"], got["chunks"], got["indexed"], got["failed"]) == (4, 1, 1, 2, 3, 3, 0)
     assert {(r.paper_id, r.title) for r in e.table("papers").collect()} == {("2401.00001", "T 2401.00001"), ("cs.DS/0101001", "T cs.DS/0101001")}
     (tmp_path / "pdf" / "2401.00001.pdf").write_text("Changed words.")
@@ -153,7 +155,10 @@ def test_cli(spark, engine, tmp_path, capsys):
     made = Engine(spark, engine.home, generator=Questions)
     out = str(tmp_path / "e.json")
     assert cli.run([engine.home, "eval-generate", out, "--questions", "1", "--min-chars", "50"], made) == 0
-    assert cli.run([engine.home, "eval-run", out, "--report", str(tmp_path / "r.md")], engine) == 0
+    assert cli.run([engine.home, "eval-run", out, "--report", str(tmp_path / "r.md"), "--generate", "--generation-rerank", "lexical", "--generation-select-evidence", "--generation-select-k", "2", "--generation-repair-citations"], engine) == 0
+    assert cli.run([engine.home, "eval-run", out, "--generate", "--generation-cite-chunk-index", "--generation-quote-first"], engine) == 1
+    assert cli.run([engine.home, "query", "sediment", "--verify", str(tmp_path)], engine) == 1
+    assert cli.run([engine.home, "index", "--add-ids", "x.txt"], engine) == 1
     assert "# Evaluation report" in (tmp_path / "r.md").read_text()
     (tmp_path / "ids.txt").write_text("2311.12022v1\nbad\n")
     assert cli.run([engine.home, "check-ids", str(tmp_path / "ids.txt")], engine) == 1

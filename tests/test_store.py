@@ -1,10 +1,12 @@
 import datetime as dt
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from paperweir.operators import fusion, providers, store
+from paperweir.operators import evalgen, providers, store
 from paperweir.sources import files, remote
 
 
@@ -177,14 +179,51 @@ def test_remote(spark, tmp_path):
         seen.append(one)
         return {"a/1": R(200), "b": R(429, {"Retry-After": "7"}) if seen.count("b") == 1 else R(200), "c": R(404)}[one]
 
-    out = remote.download(remote.FetchConfig(str(tmp_path)), ["a/1", "b", "c", "a/1"], get, waits.append)
+    out = remote.download(remote.FetchConfig(str(tmp_path), delay_seconds=0), ["a/1", "b", "c", "a/1"], get, waits.append)
     assert out == {"a/1": "fetched", "b": "fetched", "c": "HTTP 404"} and waits == [7.0]
     assert remote.download(remote.FetchConfig(str(tmp_path)), ["b"], get)["b"] == "exists"
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a_1.pdf", "b.pdf"]
 
 
-def test_interleave():
-    got = fusion.interleave([["a", "b"], ["c"]], 5, seed=1)
-    assert sorted(got[:3]) == ["a", "b", "c"] and got == fusion.interleave([["a", "b"], ["c"]], 5, seed=1)
-    with pytest.raises(ValueError):
-        fusion.interleave([["a"]], 3, 0)
+def test_openings_take_turns():
+    plan = evalgen.openings_plan(52, seed=1)
+    groups = [next(i for i, g in enumerate(evalgen.OPENINGS) if o in g) for o in plan]
+    assert groups[:6] == list(range(6)) and sorted(plan[:26]) == sorted(plan[26:]) and plan[:26] != plan[26:]
+    assert evalgen.openings_plan(5, seed=1) == plan[:5] != evalgen.openings_plan(5, seed=2)
+    for bad in (0, 53):
+        with pytest.raises(ValueError):
+            evalgen.openings_plan(bad)
+
+
+def test_fetcher_uses_its_settings(tmp_path):
+    seen = {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen[self.path] = self.headers["User-Agent"]
+            self.send_response(200 if self.path == "/a" else 404)
+            self.end_headers()
+            self.wfile.write(b"body")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config, waits = remote.FetchConfig(str(tmp_path), delay_seconds=3, timeout_seconds=5, user_agent="tester"), []
+    got = remote.download(config, ["a", "b"], remote.url_fetcher(config, lambda i: f"http://127.0.0.1:{server.server_port}/{i}"), waits.append)
+    server.shutdown()
+    assert got == {"a": "fetched", "b": "HTTP 404"} and (tmp_path / "a.pdf").read_bytes() == b"body"
+    assert waits == [3] and seen == {"/a": "tester", "/b": "tester"}
+
+
+def test_failing_pages_of_an_extractor(spark):
+    def extractor(content):
+        if content == b"bad":
+            raise ValueError("broken file")
+        return ["one", None, "three"], ["odd table", "bogus font"]
+
+    df = spark.createDataFrame([("p", "d", "/p.pdf", bytearray(b"x")), ("q", "e", "/q.pdf", bytearray(b"bad"))], "paper_id string, doc_id string, path string, content binary")
+    got = sorted((r.paper_id, r.page, r.text, r.warning, r.error) for r in files.extract_pages(df, extractor).fillna({"page": 0, "text": ""}).collect())
+    note = "odd table; page 2 could not be read"
+    assert got == [("p", 1, "one", note, None), ("p", 3, "three", note, None), ("q", 0, "", None, "broken file")]
