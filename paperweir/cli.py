@@ -18,7 +18,7 @@ from paperweir.operators import evalgen
 from paperweir.operators.answering import AnswerConfig
 from paperweir.operators.evaluation import report_markdown
 from paperweir.operators.chunking import ChunkConfig
-from paperweir.session import build_session
+from paperweir.session import build_session, cut
 from paperweir.sources import files, remote
 
 
@@ -88,6 +88,16 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--rebuild", metavar="FOLDER", help="parse, chunk and index the PDFs of a folder")
     x.add_argument("--add-ids", metavar="FILE", help="fetch, parse, chunk and index the papers of a list of identifiers")
     x.add_argument("--pdf-dir", default="pdfs", help="where --add-ids puts PDFs")
+    f = sub.add_parser("download")
+    f.add_argument("ids", help="file of identifiers")
+    f.add_argument("--pdf-dir", default="pdfs")
+    f.add_argument("--delay-seconds", type=float, default=10.0)
+    f.add_argument("--retries", type=int, default=3)
+    f.add_argument("--id-index", help="file of identifiers to bring up to date with the folder")
+    s = sub.add_parser("parse")
+    s.add_argument("pdf_dir")
+    s.add_argument("output", help="folder of parsed JSON")
+    s.add_argument("--remove-headers", action="store_true")
     v = sub.add_parser("inspect")
     v.add_argument("--doc-id", action="append")
     c = sub.add_parser("check-ids")
@@ -167,6 +177,22 @@ def run(argv: list[str], engine: Engine | None = None, client: remote.PaperClien
                 print(json.dumps(counts))
                 return 1 if counts["failed"] else 0
             print(e.index(a.doc_id, a.limit, a.force_delete, a.force))
+        elif a.command == "download":
+            if get is None:
+                raise ValueError("no service for papers is set up")
+            good, bad = e.check_ids(files.read_ids(a.ids))
+            outcome = remote.download(remote.FetchConfig(a.pdf_dir, a.delay_seconds, a.retries), good, get)
+            if a.id_index:
+                files.write_id_index(files.pdf_files(e.spark, a.pdf_dir), a.id_index)
+            print(json.dumps(outcome))
+            return 1 if bad or any(x not in ("exists", "fetched") for x in outcome.values()) else 0
+        elif a.command == "parse":
+            pages = cut(files.extract_pages(files.pdf_files(e.spark, a.pdf_dir)), "pages")
+            files.write_parsed(files.parse_pages(pages, a.remove_headers), a.output)
+            failed = pages.where(F.col("error").isNotNull()).select("path", "error").orderBy("path").limit(20).collect()
+            for r in failed:
+                print(f"{r.path}: {r.error}", file=sys.stderr)
+            return 1 if failed else 0
         elif a.command == "inspect":
             for r in e.vector_counts(a.doc_id).orderBy("doc_id").collect():
                 print(f"{r.doc_id}\t{r.n}")
@@ -184,7 +210,10 @@ def run(argv: list[str], engine: Engine | None = None, client: remote.PaperClien
         print(err, file=sys.stderr)
         return 2
 
+def main() -> None:
+    """Entry point of the command."""
+    sys.exit(run(sys.argv[1:]))
 
 
 if __name__ == "__main__":
-    sys.exit(run(sys.argv[1:]))
+    main()

@@ -44,6 +44,7 @@ _PARTICLE = re.compile(PARTICLES)
 _HAS_SUFFIX = re.compile(_SUFFIX)
 #: The name of a group, of which "and" or "&" is a part.
 _GROUP = re.compile(r"[^\W\d_][\w-]*\s+(?:and|&)\s+[^\W\d_][\w-]*\s+(?:Group|Collaboration|Team|Consortium|Network|Project|Laboratory|Institute)\b", re.U)
+_WEAK, _CLOSING = re.compile(r"\s*(?:and|&)\s*"), re.compile(r"[)\]}]")
 _STRONG = r"[;；|·、\t\n\r]|/"
 _AUTHOR_SEP = re.compile(rf"\s*(?:{_STRONG}|,\s+and\s|,\s*&|,|&|(?<=\s)and\s)\s*")
 _WORD_SEP = re.compile(rf"\s*(?:{_STRONG}|,)\s*|\s+")
@@ -126,7 +127,10 @@ def _long_end(text: str, at: int, inverted: bool) -> int | None:
 
 
 def _bare_end(text: str, at: int, field: Field, divided: bool = False, inverted: bool = False) -> int:
-    """Where the bare value that begins at `at` ends."""
+    """Where the bare value that begins at `at` ends.
+
+    Between dividers, "and" behind a single word belongs to a name.
+    """
     if field.names:
         if m := _GROUP.match(text, at):
             return m.end()
@@ -137,11 +141,14 @@ def _bare_end(text: str, at: int, field: Field, divided: bool = False, inverted:
     depth, i, size = 0, at, len(text)
     while i < size:
         c = text[i]
-        if c in "([":
+        if c in "([{":
             depth += 1
-        elif c in ")]":
+        elif c in ")]}":
             depth = max(0, depth - 1)
-        elif (depth == 0 or text.find(")", i) < 0 and text.find("]", i) < 0) and (m := field.separator.match(text, i)):
+        elif (depth == 0 or not _CLOSING.search(text, i)) and (m := field.separator.match(text, i)):
+            if divided and _WEAK.fullmatch(m.group()) and len(text[at:i].split()) < 2:
+                i = m.end()  # the name of a firm, since dividers stand between names
+                continue
             if field.names and c == "," and (s := _HAS_SUFFIX.match(text, i)):
                 i = s.end()
                 continue
@@ -167,7 +174,7 @@ def split_packed(text: str | None, field: Field) -> list[tuple[int, str, str | N
         if s.lstrip().startswith("[") and not field.names or re.match(r"\s*\[\s*[\"']", s):  # a list whose bracket is not closed
             s, flag = s.strip().lstrip("[").rstrip("]"), "broken_bracket"
         at, size = 0, len(s)
-        divided, inverted = _divided(s) if field.names and "," in s else (False, False)
+        divided, inverted = _divided(s) if field.names and _DIVIDER.search(s) else (False, False)
         while at < size:
             at = _WS.match(s, at).end()
             if at >= size:

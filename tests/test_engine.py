@@ -164,6 +164,8 @@ def test_cli(spark, engine, tmp_path, capsys):
     assert cli.run([engine.home, "check-ids", str(tmp_path / "ids.txt")], engine) == 1
     (tmp_path / "pdfs").mkdir()
     (tmp_path / "pdfs" / "2401.00001.pdf").write_text("More on flowers.")
+    assert cli.run([engine.home, "parse", str(tmp_path / "pdfs"), str(tmp_path / "parsed")], engine) == 0
+    assert cli.run([engine.home, "download", str(tmp_path / "ids.txt"), "--pdf-dir", str(tmp_path / "pdfs")], engine) == 1
     assert cli.run([engine.home, "ingest", str(tmp_path / "pdfs")], engine) == 0
     assert cli.run([engine.home, "index"], engine) == 0
 

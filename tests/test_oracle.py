@@ -3,6 +3,7 @@
 import decimal
 import glob
 import os
+import sys
 
 import duckdb
 import numpy as np
@@ -52,6 +53,29 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_only_an_absent_folder_hides_llm(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+
+    def lacking(name):
+        def load(n, *a, **k):
+            if n == name or n == "paperweir.llm" and name == "paperweir.llm":
+                raise ModuleNotFoundError(name, name=name)
+            return real(n, *a, **k)
+
+        return load
+
+    monkeypatch.setattr(builtins, "__import__", lacking("paperweir.llm"))
+    assert entry._llm() is None
+    for m in [m for m in sys.modules if m.startswith("paperweir.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setattr(builtins, "__import__", lacking("ahocorasick"))
+    if os.path.isdir(os.path.join(os.path.dirname(entry.__file__), "paperweir", "llm")):
+        with pytest.raises(ModuleNotFoundError):
+            entry._llm()
+
+
 def test_core_stands_without_llm():
     from paperweir.plans import registry
 

@@ -46,6 +46,9 @@ def test_authors(text, want):
         ("Vargas Llosa, Jorge Mario; Doe, Jane", ["Vargas Llosa, Jorge Mario", "Doe, Jane"]),
         ("Ada Lovelace, Alan Turing; Kurt Gödel", ["Ada Lovelace", "Alan Turing", "Kurt Gödel"]),
         ("Ada Lovelace, Alan Turing, Kurt Gödel; Mia Fell", ["Ada Lovelace", "Alan Turing", "Kurt Gödel", "Mia Fell"]),
+        ("Smith and Sons Ltd; A. Roe", ["Smith and Sons Ltd", "A. Roe"]),
+        ("Roe & Co; Ada Lovelace and Alan Turing", ["Roe & Co", "Ada Lovelace", "Alan Turing"]),
+        ("{A, B}; C", ["{A, B}", "C"]),
         ("Ada Lovelace, Alan Turing\n", ["Ada Lovelace", "Alan Turing"]),
         ("Ada Lovelace, Alan Turing,\nKurt Gödel", ["Ada Lovelace", "Alan Turing", "Kurt Gödel"]),
     ],
