@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperweir.plans import answers, corpus, search, tables, texts
+from paperweir.plans import answers, corpus, flows, search, tables, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (corpus, texts, search, answers, tables)
+_PARTS = (corpus, texts, search, answers, tables, flows)
 
 
 def queries() -> dict[str, Query]:
