@@ -12,7 +12,6 @@ names, and references of keys whose entry changed, are looked up; files are divi
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperweir.functions.ids import chunk_key, outer_trimmed, paper_key
 from paperweir.operators.skew import key_counts, salted_join
-from paperweir.session import cut, drop_cut, read_text, remove, shared_dir, write_text
+from paperweir.session import cut, drop_cut, read_text, remove, scratch_path, write_text
 
 REF_COLUMNS = ["source_table", "source_key", "ref_key", "target", "key", "ref_time"]
 REFS = "source_table string, source_key string, ref_key string, target string, key string, ref_time timestamp_ntz"
@@ -61,7 +60,7 @@ class OrphanState:
     @classmethod
     def start(cls, spark: SparkSession, at: str | None = None, parts: int = 1) -> OrphanState:
         """The state before any step, in a folder of its own below spark.checkpoint.dir if none is named."""
-        return cls(spark, at or f"{shared_dir(spark)}/tables/orphans-{uuid.uuid4().hex}", parts)
+        return cls(spark, at or scratch_path(spark, "orphans"), parts)
 
     @classmethod
     def load(cls, spark: SparkSession, at: str, parts: int = 1) -> OrphanState:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +12,12 @@ from paperweir.operators import providers
 from paperweir.operators.answering import AnswerConfig
 from paperweir.plans import base, texts
 from paperweir.plans.tables import _PAPER, latest_version
-from paperweir.session import cut, shared_dir
+from paperweir.session import cut, scratch_path
 from paperweir.sources import files
 from paperweir.sources.tables import table
 from paperweir.streaming.reindex import activity
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-
-
 def _pages(spark: SparkSession, d: str, prefix: str = "") -> DataFrame:
     """Pages of the last document of every paper, as an extractor gives them."""
     docs = latest_version(spark, d).withColumnRenamed("paper", "paper_id")
@@ -35,7 +29,7 @@ def _pages(spark: SparkSession, d: str, prefix: str = "") -> DataFrame:
 
 def _engine(spark: SparkSession, d: str) -> Engine:
     """An engine that holds all papers, with the last document of each in chunks."""
-    e = Engine(spark, _folder(spark, "home"))
+    e = Engine(spark, scratch_path(spark, "home"))
     e.upsert_papers(table(spark, d, "papers").select(paper_key("paper_id").alias("paper_id"), "title", "abstract", "source_type", "indexed_at").where("paper_id is not null"))
     e.ingest(cut(_pages(spark, d), "pages"), texts.CONFIG)
     return e
@@ -65,14 +59,14 @@ def engine_reindex(spark: SparkSession, d: str) -> DataFrame:
 
 def parsed_files(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as parsed JSON and read again."""
-    at = _folder(spark, "parsed")
+    at = scratch_path(spark, "parsed")
     files.write_parsed(_pages(spark, d), at)
     return files.read_parsed(spark, at).select("doc_id", "pdf_path", "page", F.sha1("text").alias("text_sha1"), "error")
 
 
 def id_index(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of papers written as an index and read again."""
-    at = _folder(spark, "ids")
+    at = scratch_path(spark, "ids")
     files.write_id_index(table(spark, d, "papers").select(F.trim("paper_id").alias("paper_id")), at)
     return files.read_id_index(spark, at)
 

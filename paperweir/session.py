@@ -105,14 +105,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return None
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder for what a query writes, which `scratch` removes."""
+    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read back: lineage ends there and survives lost executors.
 
     The table lies beside Spark's own checkpoints; `drop_cut` removes it, and so does the end of `scratch`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    _written[path] = spark
+    path = scratch_path(spark, label)
     df.write.mode("overwrite").option("compression", "lz4").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._paperweir_path = path
