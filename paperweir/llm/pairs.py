@@ -23,15 +23,15 @@ REFUSALS = re.compile(
     |\bI\s+(?:must|have\s+to|need\s+to|would\s+like\s+to|will)\s+(?:respectfully\s+)?(?:decline|refuse)
     |\bI\s+(?:do\s+not|don'?t)\s+feel\s+comfortable|\bI\s+(?:would\s+)?(?:prefer|rather)\s+not\b|\bI'd\s+rather\s+not\b|\bI\s+(?:decline|refuse)\s+to\b
     |(?:\b(?:not|never|hardly)|n't)\s+(?:\w+\s+)?possible\s+for\s+me\s+to\b|\bimpossible\s+for\s+me\s+to\b|\bI\s+(?:do\s+not|don'?t)\s+have\s+(?:the\s+|any\s+)?(?:access|permission|authori[sz]ation|ability|information|knowledge)\b
-    |\bas\s+an?\s+(?:AI|artificial\s+intelligence|(?:large\s+)?language\s+model|assistant)\b[^.]*\b(?:can\s?not|can'?t|do\s+not|don'?t|am\s+(?:not|unable)|won'?t)\b|^\W*(?:(?:I'?m\s+|I\s+am\s+)?(?:so\s+|very\s+)?sorry|apologies|my\s+apologies|unfortunately)\b[^.]*\b(?:outside|beyond|not\s+(?:within|in))\s+(?:of\s+)?(?:my|the)\s+(?:scope|remit|abilities|capabilities|knowledge|competence)
+    |\bas\s+an?\s+(?:AI|artificial\s+intelligence|(?:large\s+)?language\s+model|assistant)\b[^.]*\b(?:can\s?not|can'?t|do\s+not|don'?t|am\s+(?:not|unable)|won'?t)\b|^\W*(?:(?:I'?m\s+|I\s+am\s+)?(?:so\s+|very\s+)?sorry|apologies|my\s+apologies|unfortunately)\b[^.]*\b(?:outside|beyond|not\s+(?:within|in))\s+(?:of\s+)?(?:my|what\s+I)\s+(?:scope|remit|abilities|capabilities|knowledge|competence)
     |\bno\s+(?:answer|help|response)\s+can\s+be\s+given\s+by\s+me|\bsomething\s+I\s+(?:cannot|can'?t|won'?t)
     |\b(?:kann|darf)\s+ich\s+(?:\w+\s+){0,3}nicht\b|\bich\s+(?:kann|darf)\s+(?:\w+,?\s+){0,5}nicht\s+(?:helfen|beantworten|antworten|weiterhelfen|sagen|mitteilen|bereitstellen|teilen)|\bich\s+bin\s+(?:\w+\s+){0,2}nicht\s+in\s+der\s+Lage|\bich\s+(?:muss|möchte|will)\s+(?:\w+,?\s+){0,4}(?:ablehnen|nicht\s+(?:beantworten|antworten|äußern|helfen))|\bist\s+mir\s+(?:\w+\s+)?nicht\s+möglich
     |\bje\s+(?:ne\s+|n')(?:peux|puis|pourrai|saurais|suis|veux|souhaite)\s+(?:malheureusement\s+)?pas\b|\bje\s+préfère\s+ne\s+pas\b|\bje\s+(?:dois|me\s+dois\s+de)\s+(?:refuser|décliner)|\bje\s+(?:refuse|décline)\b|\bm'est\s+(?:pas\s+possible|impossible)
     |\bno\s+(?:puedo|podré|podría)\s+(?:\w+\s+){0,2}(?:responder|ayudar|contestar|proporcionar|compartir|ofrecer|dar|decir|atender|asistir|ayudarle|ayudarte|responderle)|\bno\s+me\s+es\s+posible|\bno\s+estoy\s+en\s+(?:condiciones|posición)|\bprefiero\s+no\b|\b(?:debo|tengo\s+que)\s+(?:rechazar|declinar|negarme)|\bme\s+niego\s+a
     |\bя\s+не\s+(?:могу|смогу|в\s+состоянии|буду|вправе)|\bне\s+могу\s+(?:\w+\s+){0,3}(?:помочь|ответить|отвечать|предоставить|поделиться|сказать|выполнить|обсуждать)|\bвынужден[а]?\s+отказать|\bотказываюсь\b|\bпредпоч(?:ту|итаю)\s+не\b|\bмне\s+не\s+(?:удастся|разрешено|положено)
     |\b(?:non\s+(?:posso|possiamo|sono\s+in\s+grado\s+di|mi\s+è\s+possibile|potrei)|mi\s+(?:rifiuto|dispiace,?\s+(?:ma\s+)?non))\s*(?:\w+\s+){0,2}(?:rispondere|aiutar\w*|assister\w*|fornir\w*|condivider\w*|dir\w*|dar\w*|discuter\w*|di\b)
-    |\b(?:não\s+(?:posso|podemos|consigo|sou\s+capaz\s+de|me\s+é\s+possível|poderei)|recuso-me\s+a|prefiro\s+não)\s*(?:\w+\s+){0,2}(?:responder|ajudar|auxiliar|fornecer|compartilhar|partilhar|dizer|dar|discutir|atender)?
-    |(?:お答え|回答|お手伝い|お応え|ご提供|提供|対応|支援)(?:することは?|は)?(?:でき(?:ません|かねます|ない)|いたしかねます|しかねます|致しかねます)|^(?:申し訳(?:ありません|ございません)|すみません|恐れ入りますが)(?:が|、|。|\s)
+    |\b(?:não\s+(?:posso|podemos|consigo|sou\s+capaz\s+de|me\s+é\s+possível|poderei)|recuso-me\s+a|prefiro\s+não)\s*(?:\w+\s+){0,2}(?:responder|ajudar|auxiliar|fornecer|compartilhar|partilhar|dizer|dar|discutir|atender)
+    |(?:お答え|回答|お手伝い|お応え|ご提供|提供|対応|支援)(?:することは?|は)?(?:でき(?:ません|かねます|ない)|いたしかねます|しかねます|致しかねます)
     |我(?:们)?(?:恐怕)?(?:无法|不能|不便|没办法|没有办法|拒绝|不可以|不愿|帮不了)|^(?:很?抱歉|对不起|很遗憾|不好意思)[，,。！\s]|(?:无法|不能)(?:回答|提供|协助|帮助)(?:您|你|这个|该|此)""",
     re.I | re.X,
 )

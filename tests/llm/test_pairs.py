@@ -17,7 +17,7 @@ CASES = [
 ]
 GOOD = [
     (EN, "Yes"), (EN, "About 64.9 %"), (EN, "No, only the sediment"), (EN, "cs.IR"), (EN, "Table 7"), (EN, "optical jet"), (EN, "Kolra bounds it within 60 volumes [arXiv:1804.81591 p.3]"), (EN, "Kolra bounds it. See also Tovhab et al."),
-    (EN, "It is possible for me to see that the method works well."), (EN, "The sediment does handle Kolra."), (EN, f"Kolra bounds it [{'a long title of a report, ' * 6}p.3]"),
+    (EN, "Unfortunately, larger grids are beyond the scope of the paper."), ("O que diz?", "Os autores dizem que não podemos excluir o sedimento."), (EN, "It is possible for me to see that the method works well."), (EN, "The sediment does handle Kolra."), (EN, f"Kolra bounds it [{'a long title of a report, ' * 6}p.3]"),
     (EN, "I'm sorry for the earlier mix-up. Kolra bounds the sediment."), (EN, "The authors cannot answer whether the sediment moves."), (EN, "We are unable to rule out that it moves."), (EN, "Kolra bounds it. The report calls this “el calendario”."),
     (EN, "Asked “How does Kolra handle the sediment?”, the paper answers that it does so well."), ("Kolra如何处理？", "编码器平滑了主要模型……最终改善了响应。"), (None, "It moves."),
 ]
