@@ -18,7 +18,8 @@ from paperweir.operators import evalgen
 from paperweir.operators.answering import AnswerConfig
 from paperweir.operators.evaluation import report_markdown
 from paperweir.operators.chunking import ChunkConfig
-from paperweir.session import build_session, cut
+from paperweir.operators.providers import available
+from paperweir.session import build_session, cut, scratch
 from paperweir.sources import files, remote
 
 
@@ -110,6 +111,8 @@ def _query(e: Engine, a: argparse.Namespace) -> int:
     config, stages = SearchConfig(a.mode, a.top_k, a.rrf_k, a.fts_weight, a.vector_weight), _answer_config(a)
     if a.verify and not a.generate:
         raise ValueError("--verify goes with --generate only")
+    if a.generate and not available(e.generator):
+        raise RuntimeError("the model that answers cannot be set up here")
     asked = e.spark.createDataFrame([("q1", a.question)], "query_id string, query string")
     results, warnings = e.search(asked, config)
     rows = results.withColumn("line", snippet("text", a.snippet_chars)).orderBy("rank").collect()
@@ -139,6 +142,11 @@ def _query(e: Engine, a: argparse.Namespace) -> int:
 def run(argv: list[str], engine: Engine | None = None, client: remote.PaperClient | None = None, get: Callable | None = None) -> int:
     """Runs one command; `client` and `get` reach the service that `index --add-ids` asks."""
     a = parser().parse_args(argv)
+    with scratch():
+        return _run(a, engine, client, get)
+
+
+def _run(a: argparse.Namespace, engine: Engine | None, client: remote.PaperClient | None, get: Callable | None) -> int:
     try:
         e = engine or Engine(build_session(), a.home)
         if a.command in ("query", "sources"):

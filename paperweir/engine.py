@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paperweir import schemas
 from paperweir.operators import answering, chunking, citations, evalgen, evaluation, fulltext, fusion, providers, store, vectors
-from paperweir.session import cut, drop_cut, read_text, remove, write_text
+from paperweir.session import cut, drop_cut, read_text, remove, scratch, write_text
 from paperweir.sources import files, remote
 from paperweir.sources.stored import StoredTable
 
@@ -74,6 +74,7 @@ class Engine:
 
     # papers and documents
 
+    @scratch()
     def upsert_papers(self, rows: DataFrame) -> None:
         """New metadata in place of old; documents stay, the time of indexing is now."""
         new = store.latest(schemas.conform(rows, schemas.PAPERS), ["paper_id"], [F.desc_nulls_last("indexed_at"), F.asc_nulls_last("title")])
@@ -85,6 +86,7 @@ class Engine:
         self.upsert_papers(rows.join(have, "paper_id", "left_semi"))
         return have.join(self.table("papers").select("paper_id"), "paper_id", "left_anti")
 
+    @scratch()
     def ingest(self, pages: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig(), batch: tuple[str, int] | None = None) -> dict[str, int]:
         """Parsed pages (`paper_id, doc_id, path, page, text, warning, error`) to chunks, papers and stage counts.
 
@@ -109,6 +111,7 @@ class Engine:
         unknown = docs.join(papers.select("paper_id"), "paper_id", "left_anti").count()
         return {"documents": docs.count(), "failed": pages.where(F.col("error").isNotNull()).count(), "unknown_papers": unknown, "chunks": self.table("chunks").count()}
 
+    @scratch()
     def index(self, doc_ids: list[str] | DataFrame | None = None, limit: int | None = None, force_delete: bool = False, again: bool = False) -> int:
         """Embeds chunks that have no vector under their uid (all of them if `again`) and drops vectors whose chunks are gone.
 
@@ -145,6 +148,7 @@ class Engine:
             drop_cut(new)
         return chunks.count()
 
+    @scratch()
     def text_index(self) -> tuple[DataFrame, DataFrame]:
         """The stored index of the chunks' words, brought up to date where chunks came or went since."""
         version, at = self.stored("chunks").version(), f"{self.home}/text_index"
@@ -165,6 +169,7 @@ class Engine:
             saved = {"at": name}
         return fulltext.read_index(self.spark, f"{at}/{saved['at']}")
 
+    @scratch()
     def ingest_folder(self, folder: str, extractor: files.Extractor = files.plain_extractor, config: chunking.ChunkConfig = chunking.ChunkConfig(), remove_headers: bool = False, only: list[str] | None = None) -> dict[str, int]:
         """The newest PDF of each paper in a folder (of `only` these, if given), parsed, chunked and indexed: counts by stage.
 
@@ -262,6 +267,7 @@ class Engine:
         broken = rows.where("error is not null").join(docs, "doc_id").select("paper_id")
         return citations.verify(answers, self.table("papers"), pages, known_pages=known, broken_files=broken)
 
+    @scratch()
     def log(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Appends to the query log (`query_text, retrieved_chunks, answer, latency_ms, model`), without reading it.
 

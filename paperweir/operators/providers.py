@@ -62,6 +62,15 @@ class FirstChunk:
         return f"{query} {m.group()} *\"{' '.join(words)}\"*"
 
 
+def available(factory: Callable) -> bool:
+    """Whether a provider can be set up here; why not is for the caller to find out by doing it."""
+    try:
+        factory()
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
 def with_retries(call: Callable, attempts: int = 5, first_wait: float = 1.0, longest: float = 20.0, wait: Callable[[float], None] = time.sleep, retry_on: tuple = (Exception,)):
     """`call()` again after failures, with doubling, jittered waits; the last failure is raised."""
     for i in range(attempts):

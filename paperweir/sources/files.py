@@ -77,9 +77,9 @@ def parse_pages(pages: DataFrame, remove_headers: bool = False) -> DataFrame:
 
 
 def write_parsed(pages: DataFrame, folder: str) -> None:
-    """Pages as one JSON object a document."""
+    """Pages as one JSON object a document, in a file of its own, which is what `read_parsed` reads."""
     docs = pages.groupBy("doc_id", F.col("path").alias("pdf_path")).agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    docs.select("doc_id", "pdf_path", F.size("pages").alias("num_pages"), "pages").write.mode("overwrite").json(folder)
+    docs.select("doc_id", "pdf_path", F.size("pages").alias("num_pages"), "pages", F.col("doc_id").alias("document")).write.mode("overwrite").partitionBy("document").json(folder)
 
 
 def read_parsed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -91,7 +91,7 @@ def read_parsed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for p in [paths] if isinstance(paths, str) else paths:
         if Path(p).suffix and Path(p).suffix != ".json" and Path(p).is_file():
             raise ValueError(f"not a .json file: {p}")
-    raw = spark.read.schema(schemas.PARSED + ", _corrupt_record string").option("multiLine", True).json(paths)
+    raw = spark.read.schema(schemas.PARSED + ", _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).json(paths)
     bad = F.coalesce(F.trim("doc_id"), F.lit("")) == ""
     error = F.when(F.col("_corrupt_record").isNotNull(), "invalid_parsed_json").when(bad, "missing_doc_id")
     rows = raw.withColumn("error", error)

