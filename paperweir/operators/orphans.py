@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from paperweir.functions.ids import chunk_key, outer_trimmed, paper_key
 from paperweir.operators.skew import key_counts, salted_join
-from paperweir.session import cut, drop_cut, read_text, remove, scratch_path, write_text
+from paperweir.session import cut, drop_cut, read_text, remove, scratch, scratch_path, write_text
 
 REF_COLUMNS = ["source_table", "source_key", "ref_key", "target", "key", "ref_time"]
 REFS = "source_table string, source_key string, ref_key string, target string, key string, ref_time timestamp_ntz"
@@ -168,6 +168,7 @@ def _changed_entries(state: OrphanState, came: DataFrame | None, left: DataFrame
     return after.where(~same).select(*KEY, *_ENTRY)
 
 
+@scratch()
 def step(state: OrphanState, refs: DataFrame | None = None, came: DataFrame | None = None, left: DataFrame | None = None) -> OrphanState:
     """The state after new references (REFS), index entries that came (PARENTS) and keys that left (`target, key`).
 
@@ -191,7 +192,6 @@ def step(state: OrphanState, refs: DataFrame | None = None, came: DataFrame | No
         index = _last_entry(after.lookup(["parents"], counts))
         judged = salted_join(refs.select(*REF_COLUMNS), index, KEY, "left", counts=counts)
         layers["refs"].append(after.put("refs", judged.select(*REF_COLUMNS, _kind().alias("orphan_kind")), seq))
-        drop_cut(counts)
     return after
 
 

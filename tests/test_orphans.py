@@ -100,7 +100,7 @@ def test_empty(spark):
 
 
 def test_salted_join_equals_join(spark):
-    left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(600)] + [(None, -1)], "k string, v int")
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(600)] + [(None, -i) for i in range(150)], "k string, v int")
     right = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3), (None, 4)], "k string, w int")
     for how in ("inner", "left"):
         a = sorted(map(tuple, salted_join(left, right, ["k"], how, hot_rows=100).select("k", "v", "w").collect()), key=repr)
