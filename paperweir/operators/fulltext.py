@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweir.functions.text import QUERY_STOPWORDS, index_tokens, query_tokens
+from paperweir.operators.vectors import gathered
 from paperweir.session import cut
 
 IMPORTANT_LENGTH, MAX_REQUIRED = 6, 4
@@ -25,7 +26,9 @@ K1, B = 1.2, 0.75
 #: Inverse document frequency of terms in half of all documents or more.
 IDF_FLOOR = 1e-6
 #: Questions that are sent to the workers at once.
-QUESTIONS = 20_000
+QUESTIONS = 50_000
+#: Documents that a block of questions meets at once, and bytes of the table of weights of their frequent phrases.
+DOCS, WEIGHTS = 65_536, 128 << 20
 #: Documents of a shard of stored postings, and the number of folders that divide these by term.
 SHARD, TERM_PARTS = 8_192, 64
 
@@ -172,9 +175,19 @@ def _found(tokens_: pa.ListArray, block: Block) -> tuple[np.ndarray, np.ndarray,
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     at = np.flatnonzero(term >= 0)
     at = at[np.argsort(term[at], kind="stable")]
-    bounds = np.searchsorted(term[at], np.arange(len(block.terms) + 1))
-    ps, rs, fs = [], [], []
+    alone = np.full(len(block.terms), -1)  # the phrase that is this term alone
+    several = []
     for i, ids in enumerate(block.phrases):
+        if len(ids) == 1:
+            alone[ids[0]] = i
+        else:
+            several.append((i, ids))
+    phrase = alone[term[at]]
+    one = phrase >= 0
+    pairs, times = np.unique(phrase[one].astype(np.int64) * max(1, len(offsets)) + row[at[one]], return_counts=True)
+    ps, rs, fs = [pairs // max(1, len(offsets))], [pairs % max(1, len(offsets))], [times]
+    bounds = np.searchsorted(term[at], np.arange(len(block.terms) + 1)) if several else None
+    for i, ids in several:
         here = at[bounds[ids[0]] : bounds[ids[0] + 1]]
         for j, t in enumerate(ids[1:], 1):
             here = here[here + j < offsets[row[here] + 1]]
@@ -184,52 +197,147 @@ def _found(tokens_: pa.ListArray, block: Block) -> tuple[np.ndarray, np.ndarray,
             ps.append(np.full(len(rows), i))
             rs.append(rows)
             fs.append(times)
-    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (ps, rs, fs))
-
-
-def _best(block: Block, phrase: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, k: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
-    """(question, strict, rows, scores) of the k best of n rows, from weights by phrase and row, ordered by phrase.
-
-    Where a question has strict hits here it has them anywhere, so its relaxed ones are not wanted.
+    phrase, rows, times = (np.concatenate(x) for x in (ps, rs, fs))
+    order = np.argsort(phrase, kind="stable") if several else slice(None)
+    return phrase[order], rows[order], times[order]
+
+
+class _Shard:
+    """Weights by phrase and row, ordered so, of n documents; the best score is the largest here."""
+
+    def __init__(self, block: Block, phrase: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int) -> None:
+        self.block, self.row, self.weight = block, row, weight
+        self.bounds = np.searchsorted(phrase, np.arange(len(block.phrases) + 1))
+        self.begins = np.searchsorted(block.question, np.arange(len(block.keys) + 1))
+        self.size = np.diff(self.bounds)
+        # frequent phrases have their weights in a table, which is read by row
+        many = np.flatnonzero(self.size > n // 64)
+        many = many[np.argsort(-self.size[many], kind="stable")][: WEIGHTS // (8 * max(1, n))]
+        self.table = {}
+        for i in many.tolist():
+            self.table[i] = np.zeros(n)
+            self.table[i][self.rows(i)] = self.weights(i)
+        self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def rows(self, i: int) -> np.ndarray:
+        return self.row[self.bounds[i] : self.bounds[i + 1]]
+
+    def weights(self, i: int) -> np.ndarray:
+        return self.weight[self.bounds[i] : self.bounds[i + 1]]
+
+    def of(self, i: int, rows: np.ndarray) -> np.ndarray:
+        """Weights of a phrase in these rows, zero where it is not."""
+        if i in self.table:
+            return self.table[i][rows]
+        have = self.rows(i)
+        at = np.minimum(np.searchsorted(have, rows), len(have) - 1)
+        return np.where(have[at] == rows, self.weights(i)[at], 0.0)
+
+    def down(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and weights of a phrase, from the largest weight."""
+        if i not in self.sorted:
+            order = np.argsort(-self.weights(i), kind="stable")
+            self.sorted[i] = self.rows(i)[order], self.weights(i)[order]
+        return self.sorted[i]
+
+    def strict(self, q: int) -> np.ndarray:
+        """Rows with all required phrases of a question and one of the others."""
+        mine = np.arange(self.begins[q], self.begins[q + 1])
+        ids, need = self.block.phrase[mine], self.block.required[mine]
+        must, rest = ids[need], [i for i in ids[~need].tolist() if self.size[i]]
+        if not len(must):
+            return np.unique(np.concatenate([self.rows(i) for i in rest])) if rest else np.empty(0, np.int64)
+        if not self.size[must].all() or (len(must) < len(ids) and not rest):
+            return np.empty(0, np.int64)
+        must = must[np.argsort(self.size[must], kind="stable")].tolist()
+        rows = self.rows(must[0])
+        for i in must[1:]:
+            rows = rows[self.of(i, rows) > 0]
+        if rest and len(rows):
+            any_ = np.zeros(len(rows), bool)
+            for i in rest:
+                any_ |= self.of(i, rows) > 0
+            rows = rows[any_]
+        return rows
+
+    def strict_questions(self) -> np.ndarray:
+        """Questions with strict hits among these documents."""
+        possible = np.ones(len(self.block.keys), bool)
+        need = self.block.required
+        possible[self.block.question[need & (self.size[self.block.phrase] == 0)]] = False
+        return np.array([q for q in np.flatnonzero(possible).tolist() if len(self.strict(q))], np.int64)
+
+    def scores(self, entries: list[tuple[int, float]], rows: np.ndarray) -> np.ndarray:
+        score = np.zeros(len(rows))
+        for i, times in entries:
+            score += times * self.of(i, rows)
+        return score
+
+    def best(self, q: int, strict: bool, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of a question with their scores: of its strict hits, or of all.
+
+        Phrases are taken in from the one that can give most. A row with none of those taken in so far can reach no more than
+        the others give together, so that only rows with a weight that may bring them among the k best are looked at.
+        """
+        mine = range(self.begins[q], self.begins[q + 1])
+        entries = [(i, t) for i, t in ((int(self.block.phrase[m]), float(self.block.times[m])) for m in mine) if self.size[i]]
+        if strict and self.block.required[self.begins[q] : self.begins[q + 1]].any():
+            rows = self.strict(q)
+            return _first(rows, self.scores(entries, rows), k)
+        gives = sorted(((t * self.down(i)[1][0], t, i) for i, t in _times(entries).items()), reverse=True)
+        left = sum(g for g, _, _ in gives)
+        rows, score, least = np.empty(0, np.int64), np.empty(0), -np.inf
+        for j, (most, times, i) in enumerate(gives):
+            if left < least:
+                break
+            left -= most
+            new, weight = self.down(i)
+            if least > left:
+                new = new[: np.searchsorted(-weight, -(least - left) / times, side="right")]
+            for _, _, before in gives[:j]:
+                new = new[self.of(before, new) == 0]
+            rows, score = _first(np.concatenate([rows, new]), np.concatenate([score, self.scores(entries, new)]), k)
+            if len(rows) == k:
+                least = score[-1] - 4e-9  # with all that round to the same, and what sums in another order differ by
+        return rows, score
+
+
+def _times(entries: list[tuple[int, float]]) -> dict[int, float]:
+    """Times of each phrase; one that is required and optional counts for both."""
+    out: dict[int, float] = {}
+    for i, t in entries:
+        out[i] = out.get(i, 0.0) + t
+    return out
+
+
+def _first(rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of the largest scores; equal to nine places, the smaller rows."""
+    if len(rows) > 4 * k:
+        some = score >= np.partition(score, len(score) - k)[len(score) - k] - 2e-9
+        rows, score = rows[some], score[some]
+    order = np.lexsort((rows, np.round(-score, 9)))[:k]
+    return rows[order], score[order]
+
+
+def _counts(block: Block, phrase: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of each phrase, and questions with strict hits, among n documents."""
+    shard = _Shard(block, phrase, row, np.ones(len(row)), n)
+    return shard.size, shard.strict_questions()
+
+
+def _answers(block: Block, docs: pa.Array, phrase: np.ndarray, row: np.ndarray, tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float, strict: np.ndarray, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k best of `docs` for each question of a block; `row` counts in `docs`, which is in the order that breaks ties.
+
+    `strict` tells which questions have strict hits anywhere, so that their relaxed ones are not wanted.
     """
-    bounds = np.searchsorted(phrase, np.arange(len(block.phrases) + 1))
-    begins = np.searchsorted(block.question, np.arange(len(block.keys) + 1))
-    for q in range(len(block.keys)):
-        mine = range(begins[q], begins[q + 1])
-        spans = [(bounds[block.phrase[i]], bounds[block.phrase[i] + 1], i) for i in mine]
-        spans = [x for x in spans if x[0] < x[1]]
-        if not spans:
-            continue
-        rows = np.concatenate([row[a:b] for a, b, _ in spans])
-        given = np.concatenate([block.times[i] * weight[a:b] for a, b, i in spans])
-        hit = np.unique(rows)
-        place = np.searchsorted(hit, rows)
-        score = np.bincount(place, given, len(hit))
-        need = block.required[begins[q] : begins[q + 1]]
-        strict = True
-        if need.any():
-            must = np.concatenate([np.full(b - a, block.required[i]) for a, b, i in spans])
-            have = np.bincount(place[must], minlength=len(hit)) == need.sum()
-            if not need.all():
-                have &= np.bincount(place[~must], minlength=len(hit)) > 0
-            strict = bool(have.any())
-            if strict:
-                hit, score = hit[have], score[have]
-        order = np.lexsort((hit, np.round(score, 9)))[:k]
-        yield q, strict, hit[order], score[order]
-
-
-def _answers(block: Block, docs: pa.Array, phrase: np.ndarray, row: np.ndarray, tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float, k: int, names: list[str]) -> pa.RecordBatch:
-    """The k best of `docs` for each question of a block; `row` counts in `docs`, which is in the order that breaks ties."""
-    weight = -idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
-    qs, modes, rows, scores = [], [], [], []
-    for q, strict, r, s in _best(block, phrase, row, weight, len(docs), k):
-        qs.append(np.full(len(r), q))
-        modes.append(np.full(len(r), strict))
-        rows.append(r)
-        scores.append(s)
-    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(join(qs, np.int64).astype(np.int32)), docs.take(pa.array(join(rows, np.int64))), pa.array(join(scores, float)), pa.array(join(modes, bool))], names)
+    shard = _Shard(block, phrase, row, idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl)), len(docs))
+    some = np.unique(block.question[shard.size[block.phrase] > 0]).tolist()
+    for at in range(0, len(some), 5_000):
+        qs = some[at : at + 5_000]
+        got = [shard.best(q, bool(strict[q]), k) for q in qs]
+        question = np.repeat(qs, [len(r) for r, _ in got]).astype(np.int32)
+        rows, score = (np.concatenate(x) for x in zip(*got))
+        yield pa.RecordBatch.from_arrays([pa.array(question), docs.take(pa.array(rows)), pa.array(-score), pa.array(strict[question])], names)
 
 
 def _idf(block: Block, df: dict[int, int], n: int) -> np.ndarray:
@@ -238,34 +346,56 @@ def _idf(block: Block, df: dict[int, int], n: int) -> np.ndarray:
     return np.where(idf <= 0, IDF_FLOOR, idf)
 
 
+def _totals(counts: DataFrame, block: Block) -> tuple[dict[int, int], np.ndarray, int, int]:
+    """Documents of each phrase, which questions have strict hits, documents and tokens, from rows `i, n`.
+
+    `i` counts phrases, then questions, then documents and tokens: no more rows than the block has of these.
+    """
+    sums = {r.i: r.n for r in counts.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    p, q = len(block.phrases), len(block.keys)
+    return sums, np.array([p + i in sums for i in range(q)], bool), sums.get(p + q, 0), sums.get(p + q + 1, 0)
+
+
+def _counted(block: Block, df: np.ndarray, strict: np.ndarray, n: int = 0, size: int = 0) -> pa.RecordBatch:
+    p, q = len(block.phrases), len(block.keys)
+    some = np.flatnonzero(df)
+    at = np.concatenate([some, p + np.flatnonzero(strict), [p + q, p + q + 1]])
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([df[some], np.ones(strict.sum(), np.int64), [n, size]]).astype(np.int64))], ["i", "n"])
+
+
+def _split(texts: pa.ChunkedArray) -> pa.ListArray:
+    """Lists of tokens from texts of tokens with blanks between them; null is an empty list."""
+    texts = texts.combine_chunks()
+    parts = pc.split_pattern(texts, " ")
+    return pa.ListArray.from_arrays(parts.offsets, parts.values)
+
+
 def _from_texts(rows: DataFrame, block: Block, k: int, doc: str) -> DataFrame:
-    """`q, doc, score, strict` from tokenised documents `doc, ts`: a batch of them is a shard."""
+    """`q, doc, score, strict` from tokenised documents `doc, ts`, up to `DOCS` of which are a shard."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(block)
     kind = rows.schema[doc].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, size = np.zeros(len(sent.value.phrases) + 2, np.int64), 0, 0
-        for batch in batches:
-            phrase, _, _ = _found(batch.column(1), sent.value)
-            total[:-2] += np.bincount(phrase, minlength=len(total) - 2)
-            n, size = n + batch.num_rows, size + len(batch.column(1).flatten())
-        total[-2:] = n, size
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "n"])
-
-    # as many rows as the block has phrases
-    sums = {r.i: r.n for r in rows.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    p = len(block.phrases)
-    n, size = sums.get(p, 0), sums.get(p + 1, 0)
+        df, strict, n, size = np.zeros(len(sent.value.phrases), np.int64), np.zeros(len(sent.value.keys), bool), 0, 0
+        for shard in gathered(batches, DOCS):
+            ts = _split(shard.column(1))
+            phrase, row, _ = _found(ts, sent.value)
+            found, some = _counts(sent.value, phrase, row, len(ts))
+            df += found
+            strict[some] = True
+            n, size = n + len(ts), size + len(ts.flatten())
+        yield _counted(sent.value, df, strict, n, size)
+
+    sums, strict, n, size = _totals(rows.mapInArrow(count, "i long, n long"), block)
     idf, avgdl = _idf(block, sums, n), size / n if size else 1.0
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            order = pc.sort_indices(batch.column(0))
-            docs, ts = batch.column(0).take(order), batch.column(1).take(order)
+        for shard in gathered(batches, DOCS):
+            order = pc.sort_indices(shard.column(0))
+            docs, ts = shard.column(0).take(order).combine_chunks(), _split(shard.column(1).take(order))
             phrase, row, tf = _found(ts, sent.value)
-            yield _answers(sent.value, docs, phrase, row, tf, np.diff(np.asarray(ts.offsets)), idf, avgdl, k, ["q", doc, "score", "strict"])
+            yield from _answers(sent.value, docs, phrase, row, tf, np.diff(np.asarray(ts.offsets)), idf, avgdl, strict, k, ["q", doc, "score", "strict"])
 
     return rows.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean")
 
@@ -295,18 +425,20 @@ def _from_index(index: tuple[DataFrame, DataFrame], block: Block, k: int, doc: s
             yield docs, dl, *_matched(sent.value, term, row, t.column(4).to_numpy(), t.column(5).combine_chunks() if multi else None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(sent.value.phrases), np.int64)
-        for _, _, phrase, _, _ in shard_rows(batches):
-            found += np.bincount(phrase, minlength=len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found)], ["i", "n"])
+        df, strict = np.zeros(len(sent.value.phrases), np.int64), np.zeros(len(sent.value.keys), bool)
+        for docs, _, phrase, row, _ in shard_rows(batches):
+            found, some = _counts(sent.value, phrase, row, len(docs))
+            df += found
+            strict[some] = True
+        yield _counted(sent.value, df, strict)
 
     sorted_ = hits.repartition("shard").sortWithinPartitions("shard")
-    df = {r.i: r.n for r in sorted_.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    df, strict, _, _ = _totals(sorted_.mapInArrow(count, "i long, n long"), block)
     idf, avgdl = _idf(block, df, n), (total or 0) / n if total else 1.0
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, dl, phrase, row, tf in shard_rows(batches):
-            yield _answers(sent.value, docs, phrase, row, tf, dl, idf, avgdl, k, ["q", doc, "score", "strict"])
+            yield from _answers(sent.value, docs, phrase, row, tf, dl, idf, avgdl, strict, k, ["q", doc, "score", "strict"])
 
     return sorted_.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean")
 
@@ -374,20 +506,18 @@ def bm25_topk(questions: DataFrame, docs: DataFrame | None, k: int, key: str = "
         raise ValueError("top_k must be > 0")
     compiled = compile_queries(questions.where(F.col(query).isNotNull()), key, query)
     named = _phrases(compiled, key)
-    rows = None if index is not None else cut(docs.select(doc, index_tokens(text).alias("ts")).withColumn("ts", F.coalesce("ts", F.array().cast("array<string>"))), "tokens")
+    rows = None if index is not None else cut(docs.select(doc, F.nullif(F.array_join(index_tokens(text), " "), F.lit("")).alias("ts")), "tokens")
     spark = questions.sparkSession
     kind = questions.schema[key].dataType.simpleString()
     found = None
     for block in _blocks(named, key, QUESTIONS):
         part = _from_texts(rows, block, k, doc) if index is None else _from_index(index, block, k, doc)
+        first = Window.partitionBy("q").orderBy(F.round("score", 9), doc)
+        best = part.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
         keys = spark.createDataFrame(list(enumerate(block.keys)), f"q int, `{key}` {kind}")
-        part = part.join(F.broadcast(keys), "q").select(key, doc, "score", "strict")
+        part = best.join(F.broadcast(keys), "q").select(key, "rank", doc, "score", F.when(F.col("strict"), "strict").otherwise("relaxed").alias("mode"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         source = docs if index is None else index[1]
         return spark.createDataFrame([], f"`{key}` {kind}, rank int, `{doc}` {source.schema[doc].dataType.simpleString()}, score double, mode string")
-    # a task keeps its k best of either mode; strict ones count where any task has them
-    first = Window.partitionBy(key).orderBy(F.desc("strict"), F.round("score", 9), doc)
-    best = found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    best = best.withColumn("any", F.bool_or("strict").over(Window.partitionBy(key))).where(F.col("strict") == F.col("any"))
-    return best.select(key, "rank", doc, "score", F.when(F.col("strict"), "strict").otherwise("relaxed").alias("mode"))
+    return found

@@ -92,6 +92,74 @@ def test_exact_topk(spark):
     assert vectors.exact_topk(q.limit(0), df, 5, dim=8).count() == 0
 
 
+@pytest.mark.parametrize("group", [40, 131_072])
+def test_nearest_of_many_steps(spark, monkeypatch, group):
+    monkeypatch.setattr(vectors, "GROUP", group)
+    monkeypatch.setattr(vectors, "QUERIES", 100)
+    rng = np.random.default_rng(41)
+    x = rng.standard_normal((40, 8)).repeat(75, axis=0) + 1e-3 * rng.standard_normal((3000, 8)).round(0)  # near and equal ones
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    q = df.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for metric, d in {"cosine": 1 - u @ u.T, "ip": 1 - x @ x.T, "l2": ((x[:, None] - x[None]) ** 2).sum(-1)}.items():
+        got = {(r.qid, r["rank"]): r.distance for r in vectors.exact_topk(q, df, 5, metric, dim=8, block=64).collect()}
+        assert len(got) == 150 * 5
+        for i in range(0, 3000, 20):
+            assert np.allclose([got[f"q{i}", n] for n in range(1, 6)], np.sort(d[i])[:5], atol=1e-9)
+
+
+def test_few_rows_leave_a_task(spark, monkeypatch):
+    """Not k rows of every question for each Arrow batch or pair of blocks, of which the number grows with both tables."""
+    texts = spark.range(0, 2000, 1, 1).select(F.col("id").alias("chunk_id"), F.concat(F.lit("river delta w"), F.col("id") % 7).alias("text"))
+    asked = spark.createDataFrame([(f"q{i}", "river delta w3") for i in range(5)], "query_id string, query string")
+    vecs = texts.select("chunk_id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("chunk_id") * i)).alias("embedding"))
+    near = vecs.where("chunk_id between 1 and 5").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = []
+    plain = type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, f, schema, *a: seen.append((schema, plain(self, f, schema, *a))) or seen[-1][1])
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        assert fulltext.bm25_topk(asked, texts, 3).count() == 15
+        assert vectors.exact_topk(near, vecs, 3, key="chunk_id", dim=8, block=100).count() == 15
+        rows = [df.count() for schema, df in seen if "score" in schema or "distance" in schema]
+        assert len(rows) == 2 and max(rows) <= 4 * 15, rows
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+@pytest.mark.parametrize("shard", [64, 65_536])
+def test_bm25_equals_fts5_at_random(spark, monkeypatch, shard):
+    monkeypatch.setattr(fulltext, "DOCS", shard)
+    monkeypatch.setattr(fulltext, "QUESTIONS", 40)
+    rng = np.random.default_rng(43)
+    words = [f"{a}{b}" for a in ("re", "modela", "transporta", "bas") for b in "abcdefghij"]
+    odds = 1 / np.arange(1, 41) ** 1.2
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=odds / odds.sum())) for _ in range(700)]
+    asked = [" ".join(rng.choice(words, rng.integers(1, 7))) for _ in range(100)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(t)")
+    con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    plans = {r.query_id: r for r in fulltext.compile_queries(q).collect()}
+    got = {}
+    for r in fulltext.bm25_topk(q, docs, 8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score, r.mode))
+    find = lambda match: sorted((round(x, 9), i) for i, x in con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,)))[:8]
+    modes = set()
+    for i, plan in plans.items():
+        must, rest = " AND ".join(plan.required), " OR ".join(plan.optional)
+        want, mode = find(f"({must}) AND ({rest})" if must and rest else must or rest), "strict"
+        if not want:
+            want, mode = find(" OR ".join([*plan.required, *plan.optional])), "relaxed"
+        have = got.get(i, [])
+        assert np.allclose([s for _, s, _ in have], [s for s, _ in want], atol=1e-8) and len(have) == len(want)
+        assert all(abs(a - b) < 2e-9 or c == d for (c, a, _), (b, d) in zip(have, want)) and {m for _, _, m in have} <= {mode}
+        modes.add(mode)
+    assert modes == {"strict", "relaxed"}
+
+
 def test_vector_bytes_and_distance(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<float>, b array<float>")
     r = df.select(vectors.from_bytes(vectors.to_bytes("a")).alias("v"), vectors.distance("a", "b", "cosine").alias("c"), vectors.distance("a", "b", "l2").alias("l"), vectors.distance("a", "b", "ip").alias("i")).first()
