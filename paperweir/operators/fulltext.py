@@ -9,7 +9,8 @@ term, documents with their lengths), of which only the terms that are asked for
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,11 @@ K1, B = 1.2, 0.75
 #: Inverse document frequency of terms in half of all documents or more.
 IDF_FLOOR = 1e-6
 #: Questions that are sent to the workers at once.
-QUESTIONS = 50_000
+QUESTIONS = 100_000
 #: Documents that a block of questions meets at once, and bytes of the table of weights of their frequent phrases.
 DOCS, WEIGHTS = 65_536, 128 << 20
+#: Rows that the rare phrases of a relaxed question have, on average over the questions of a block; see `Asked`.
+RARE = 100
 #: Documents of a shard of stored postings, and the number of folders that divide these by term.
 SHARD, TERM_PARTS = 8_192, 64
 
@@ -151,6 +154,60 @@ class Block:
         return cls(keys, list(terms), list(phrases), np.array(q), np.array(p), np.array(m, float), np.array(r, bool))
 
 
+@dataclass
+class Asked:
+    """What the documents are asked: units of phrases, and rare phrases question by question.
+
+    A unit is a question with strict hits, or what relaxed questions have in common: the phrases and times that are left
+    without the rare ones. Any weight is above zero, so that a row without rare phrases of a question that is among its
+    k best is among the k best of its unit too. The best of a question are thus among those of its unit and the rows
+    with its rare phrases, and questions that differ in rare phrases only are scored once.
+    """
+
+    block: Block
+    strict: np.ndarray  # by unit
+    unit: np.ndarray  # of each question, -1 without phrases that are not rare
+    question: np.ndarray  # of relaxed questions, each phrase once: question, phrase, times
+    phrase: np.ndarray
+    times: np.ndarray
+    rare: np.ndarray  # by phrase
+
+    @classmethod
+    def of(cls, block: Block, df: dict[int, int], strict: np.ndarray) -> Asked:
+        have = np.array([df.get(i, 0) for i in range(len(block.phrases))], np.int64)
+        # a phrase that is required and optional counts for both; one without documents for nothing
+        relaxed = ~strict[block.question] & (have[block.phrase] > 0)
+        width = max(1, len(block.phrases))
+        pairs, at = np.unique(block.question[relaxed] * width + block.phrase[relaxed], return_inverse=True)
+        question, phrase = pairs // width, pairs % width
+        times = np.bincount(at, block.times[relaxed], len(pairs))
+        # the rarest phrases, as far as the questions that name them get RARE rows each on average
+        order = np.argsort(have, kind="stable")
+        cost = np.cumsum((have * np.bincount(phrase, minlength=len(have)))[order])
+        rare = np.zeros(len(have), bool)
+        rare[order[cost <= RARE * len(block.keys)]] = True
+        unit = np.full(len(block.keys), -1)
+        own = np.flatnonzero(strict)
+        unit[own] = np.arange(len(own))
+        mine = strict[block.question]
+        q, p, m, r = [unit[block.question[mine]]], [block.phrase[mine]], [block.times[mine]], [block.required[mine]]
+        common = ~rare[phrase]
+        cq, cp, cm = question[common], phrase[common], times[common]
+        edges = np.flatnonzero(np.r_[True, cq[1:] != cq[:-1]]) if len(cq) else np.empty(0, np.int64)
+        units: dict[bytes, int] = {}
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(cq)]):
+            new = len(own) + len(units)
+            unit[cq[lo]] = u = units.setdefault(cp[lo:hi].tobytes() + cm[lo:hi].tobytes(), new)
+            if u == new:
+                q.append(np.full(hi - lo, u))
+                p.append(cp[lo:hi])
+                m.append(cm[lo:hi])
+                r.append(np.zeros(hi - lo, bool))
+        q, p, m, r = (np.concatenate(x) for x in (q, p, m, r))
+        n = len(own) + len(units)
+        return cls(replace(block, keys=range(n), question=q, phrase=p, times=m, required=r), np.arange(n) < len(own), unit, question, phrase, times, rare)
+
+
 def _blocks(named: DataFrame, key: str, size: int) -> Iterator[Block]:
     """The questions, `size` of them at a time."""
     rows: list[tuple] = []
@@ -161,7 +218,7 @@ def _blocks(named: DataFrame, key: str, size: int) -> Iterator[Block]:
                 yield Block.of(rows)
                 rows, n = [], 0
             n, last = n + 1, r[0]
-        rows.append(tuple(r))
+        rows.append((last, intern(r[1]), tuple(map(intern, r[2])), r[3]))  # one copy of each word
     if rows:
         yield Block.of(rows)
 
@@ -325,19 +382,71 @@ def _counts(block: Block, phrase: np.ndarray, row: np.ndarray, n: int) -> tuple[
     return shard.size, shard.strict_questions()
 
 
-def _answers(block: Block, docs: pa.Array, phrase: np.ndarray, row: np.ndarray, tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float, strict: np.ndarray, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The k best of `docs` for each question of a block; `row` counts in `docs`, which is in the order that breaks ties.
+def _answers(asked: Asked, docs: pa.Array, phrase: np.ndarray, row: np.ndarray, tf: np.ndarray, dl: np.ndarray, idf: np.ndarray, avgdl: float, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The k best of `docs` for each unit, and of the rows with rare phrases for each question, which is -1 less its number.
 
-    `strict` tells which questions have strict hits anywhere, so that their relaxed ones are not wanted.
+    `row` counts in `docs`, which is in the order that breaks ties.
     """
+    block = asked.block
     shard = _Shard(block, phrase, row, idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl)), len(docs))
-    some = np.unique(block.question[shard.size[block.phrase] > 0]).tolist()
+    some = np.unique(block.question[shard.size[block.phrase] > 0])
+    lacks = np.zeros(len(block.keys), bool)  # a required phrase, so that no row here is strict
+    lacks[block.question[block.required & (shard.size[block.phrase] == 0)]] = True
+    some = some[~(asked.strict & lacks)[some]].tolist()
     for at in range(0, len(some), 5_000):
         qs = some[at : at + 5_000]
-        got = [shard.best(q, bool(strict[q]), k) for q in qs]
-        question = np.repeat(qs, [len(r) for r, _ in got]).astype(np.int32)
+        got = [shard.best(q, bool(asked.strict[q]), k) for q in qs]
+        unit = np.repeat(qs, [len(r) for r, _ in got]).astype(np.int32)
         rows, score = (np.concatenate(x) for x in zip(*got))
-        yield pa.RecordBatch.from_arrays([pa.array(question), docs.take(pa.array(rows)), pa.array(-score), pa.array(strict[question])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(unit), docs.take(pa.array(rows)), pa.array(-score), pa.array(asked.strict[unit])], names)
+    for question, rows, score in _rare(asked, shard, phrase, len(docs), k):
+        yield pa.RecordBatch.from_arrays([pa.array((-1 - question).astype(np.int32)), docs.take(pa.array(rows)), pa.array(-score), pa.array(np.zeros(len(rows), bool))], names)
+
+
+def _rare(asked: Asked, shard: _Shard, phrase: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(question, row, score) of the k best rows among those with rare phrases of a question, whose scores are of all its phrases."""
+    named = np.flatnonzero(asked.rare[asked.phrase] & (shard.size[asked.phrase] > 0))
+    begins = np.searchsorted(asked.question, np.arange(len(asked.unit) + 1))
+    postings_ = phrase * n + shard.row
+    ends = np.cumsum(shard.size[asked.phrase[named]])
+    lo = 0
+    while lo < len(named):
+        # up to a million rows at a time, a question not divided
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, side="right")))
+        hi = int(np.searchsorted(asked.question[named], asked.question[named[hi - 1]], side="right"))
+        at = named[lo:hi]
+        lo = hi
+        p, size = asked.phrase[at], shard.size[asked.phrase[at]]
+        take = np.repeat(shard.bounds[p] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        pairs = np.unique(np.repeat(asked.question[at], size) * n + shard.row[take])
+        question, rows = pairs // n, pairs % n
+        each = begins[question + 1] - begins[question]
+        entry = np.repeat(begins[question] - np.cumsum(each) + each, each) + np.arange(each.sum())
+        pair = np.repeat(np.arange(len(pairs)), each)
+        want = asked.phrase[entry] * n + rows[pair]
+        found = np.minimum(np.searchsorted(postings_, want), len(postings_) - 1)
+        there = postings_[found] == want
+        score = np.bincount(pair[there], asked.times[entry[there]] * shard.weight[found[there]], len(pairs))
+        order = np.lexsort((rows, np.round(-score, 9), question))
+        question, rows, score = question[order], rows[order], score[order]
+        keep = np.arange(len(question)) - np.searchsorted(question, question) < k
+        yield question[keep], rows[keep], score[keep]
+
+
+def _merged(found: DataFrame, asked: Asked, keys: list, k: int, key: str, kind: str, doc: str) -> DataFrame:
+    """`key, rank, doc, score, mode` from the rows of units and questions."""
+    spark = found.sparkSession
+    first = Window.partitionBy("q").orderBy(F.round("score", 9), doc)
+    best = cut(found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).drop("rank"), "best")
+    of = pa.table({"unit": pa.array(asked.unit.astype(np.int32)), "q": pa.array(np.arange(len(keys), dtype=np.int32))})
+    units = spark.createDataFrame(of.filter(pc.greater_equal(of["unit"], 0)), "unit int, q int")
+    named = best.where("q >= 0").withColumnRenamed("q", "unit").join(F.broadcast(units), "unit").select("q", doc, "score", "strict")
+    rows = named.unionByName(best.where("q < 0").withColumn("q", -1 - F.col("q"))).repartition("q")
+    # a row of both has its whole score from the question
+    whole = rows.groupBy("q", doc).agg(F.min("score").alias("score"), F.first("strict").alias("strict"))
+    ranked = whole.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(keys), dtype=np.int32)), key: pa.array(keys)}), f"q int, `{key}` {kind}")
+    return ranked.join(F.broadcast(names), "q").select(key, "rank", doc, "score", F.when(F.col("strict"), "strict").otherwise("relaxed").alias("mode"))
 
 
 def _idf(block: Block, df: dict[int, int], n: int) -> np.ndarray:
@@ -370,37 +479,39 @@ def _split(texts: pa.ChunkedArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(parts.offsets, parts.values)
 
 
-def _from_texts(rows: DataFrame, block: Block, k: int, doc: str) -> DataFrame:
-    """`q, doc, score, strict` from tokenised documents `doc, ts`, up to `DOCS` of which are a shard."""
+def _from_texts(rows: DataFrame, block: Block, k: int, doc: str) -> tuple[DataFrame, Asked]:
+    """`q, doc, score, strict` of units and questions from tokenised documents `doc, ts`, up to `DOCS` of which are a shard."""
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(block)
+    plain = spark.sparkContext.broadcast(block)
     kind = rows.schema[doc].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, strict, n, size = np.zeros(len(sent.value.phrases), np.int64), np.zeros(len(sent.value.keys), bool), 0, 0
+        df, strict, n, size = np.zeros(len(plain.value.phrases), np.int64), np.zeros(len(plain.value.keys), bool), 0, 0
         for shard in gathered(batches, DOCS):
             ts = _split(shard.column(1))
-            phrase, row, _ = _found(ts, sent.value)
-            found, some = _counts(sent.value, phrase, row, len(ts))
+            phrase, row, _ = _found(ts, plain.value)
+            found, some = _counts(plain.value, phrase, row, len(ts))
             df += found
             strict[some] = True
             n, size = n + len(ts), size + len(ts.flatten())
-        yield _counted(sent.value, df, strict, n, size)
+        yield _counted(plain.value, df, strict, n, size)
 
     sums, strict, n, size = _totals(rows.mapInArrow(count, "i long, n long"), block)
     idf, avgdl = _idf(block, sums, n), size / n if size else 1.0
+    asked = Asked.of(block, sums, strict)
+    sent = spark.sparkContext.broadcast(asked)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in gathered(batches, DOCS):
             order = pc.sort_indices(shard.column(0))
             docs, ts = shard.column(0).take(order).combine_chunks(), _split(shard.column(1).take(order))
-            phrase, row, tf = _found(ts, sent.value)
-            yield from _answers(sent.value, docs, phrase, row, tf, np.diff(np.asarray(ts.offsets)), idf, avgdl, strict, k, ["q", doc, "score", "strict"])
+            phrase, row, tf = _found(ts, sent.value.block)
+            yield from _answers(sent.value, docs, phrase, row, tf, np.diff(np.asarray(ts.offsets)), idf, avgdl, k, ["q", doc, "score", "strict"])
 
-    return rows.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean")
+    return rows.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean"), asked
 
 
-def _from_index(index: tuple[DataFrame, DataFrame], block: Block, k: int, doc: str) -> DataFrame:
+def _from_index(index: tuple[DataFrame, DataFrame], block: Block, k: int, doc: str) -> tuple[DataFrame, Asked]:
     """The same from stored postings: those of the block's terms, brought together by shards of documents."""
     postings_, lengths = index
     spark = lengths.sparkSession
@@ -411,7 +522,7 @@ def _from_index(index: tuple[DataFrame, DataFrame], block: Block, k: int, doc: s
     read = postings_.join(F.broadcast(terms), ["part", "term"])  # at most the terms of one block of questions
     multi = any(len(ids) > 1 for ids in block.phrases)
     hits = cut(read.select(F.pmod(F.xxhash64(doc), F.lit(shards)).alias("shard"), "t", F.col(doc).alias("doc"), "dl", "tf", *(["positions"] if multi else [])), "postings")
-    sent = spark.sparkContext.broadcast(block)
+    plain = spark.sparkContext.broadcast(block)
 
     def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for t in _runs(batches):
@@ -422,25 +533,27 @@ def _from_index(index: tuple[DataFrame, DataFrame], block: Block, k: int, doc: s
             rank[order] = np.arange(len(order))
             row, term, dl = rank[at], t.column(1).to_numpy(), np.zeros(len(order))
             dl[row] = t.column(3).to_numpy()
-            yield docs, dl, *_matched(sent.value, term, row, t.column(4).to_numpy(), t.column(5).combine_chunks() if multi else None)
+            yield docs, dl, *_matched(plain.value, term, row, t.column(4).to_numpy(), t.column(5).combine_chunks() if multi else None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, strict = np.zeros(len(sent.value.phrases), np.int64), np.zeros(len(sent.value.keys), bool)
+        df, strict = np.zeros(len(plain.value.phrases), np.int64), np.zeros(len(plain.value.keys), bool)
         for docs, _, phrase, row, _ in shard_rows(batches):
-            found, some = _counts(sent.value, phrase, row, len(docs))
+            found, some = _counts(plain.value, phrase, row, len(docs))
             df += found
             strict[some] = True
-        yield _counted(sent.value, df, strict)
+        yield _counted(plain.value, df, strict)
 
     sorted_ = hits.repartition("shard").sortWithinPartitions("shard")
     df, strict, _, _ = _totals(sorted_.mapInArrow(count, "i long, n long"), block)
     idf, avgdl = _idf(block, df, n), (total or 0) / n if total else 1.0
+    asked = Asked.of(block, df, strict)
+    sent = spark.sparkContext.broadcast(asked)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, dl, phrase, row, tf in shard_rows(batches):
-            yield from _answers(sent.value, docs, phrase, row, tf, dl, idf, avgdl, strict, k, ["q", doc, "score", "strict"])
+            yield from _answers(sent.value, docs, phrase, row, tf, dl, idf, avgdl, k, ["q", doc, "score", "strict"])
 
-    return sorted_.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean")
+    return sorted_.mapInArrow(search, f"q int, `{doc}` {kind}, score double, strict boolean"), asked
 
 
 def _matched(block: Block, term: np.ndarray, row: np.ndarray, tf: np.ndarray, positions: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -499,8 +612,9 @@ def bm25_topk(questions: DataFrame, docs: DataFrame | None, k: int, key: str = "
     `index_tables`) no texts are read.
 
     Questions are taken `QUESTIONS` at a time, and every block of them is scored where the documents are; the
-    result is exact. Work grows with the postings of the terms asked for, and nothing but k rows of a question and task,
-    and a count for each phrase, leaves the tasks; with an index, its postings of these terms are moved once.
+    result is exact. Questions that differ in rare phrases only are scored together (see `Asked`). Work grows with the postings
+    of the terms asked for, and nothing but 2k rows of a question and task, and a count for each phrase, leaves the
+    tasks; with an index, its postings of these terms are moved once.
     """
     if k <= 0:
         raise ValueError("top_k must be > 0")
@@ -511,11 +625,8 @@ def bm25_topk(questions: DataFrame, docs: DataFrame | None, k: int, key: str = "
     kind = questions.schema[key].dataType.simpleString()
     found = None
     for block in _blocks(named, key, QUESTIONS):
-        part = _from_texts(rows, block, k, doc) if index is None else _from_index(index, block, k, doc)
-        first = Window.partitionBy("q").orderBy(F.round("score", 9), doc)
-        best = part.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-        keys = spark.createDataFrame(list(enumerate(block.keys)), f"q int, `{key}` {kind}")
-        part = best.join(F.broadcast(keys), "q").select(key, "rank", doc, "score", F.when(F.col("strict"), "strict").otherwise("relaxed").alias("mode"))
+        part, asked = _from_texts(rows, block, k, doc) if index is None else _from_index(index, block, k, doc)
+        part = _merged(part, asked, block.keys, k, key, kind, doc)
         found = part if found is None else found.unionByName(part)
     if found is None:
         source = docs if index is None else index[1]

@@ -160,6 +160,42 @@ def test_bm25_equals_fts5_at_random(spark, monkeypatch, shard):
     assert modes == {"strict", "relaxed"}
 
 
+def test_questions_that_differ_in_rare_phrases_are_one_unit(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words, names = ["basin", "delta", "glacier", "model", "sediment"], [f"name{i}x" for i in range(40)]
+    texts = [" ".join([*rng.choice(words, 4), *rng.choice(names, 1)]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").repartition(3)
+    asked = [(f"q{i}", f"{names[i]} {names[-1 - i]} absent{i} {words[i % 5]} {words[i % 3]} basin") for i in range(40)]
+    questions = spark.createDataFrame(asked, "query_id string, query string")
+    units, made = [], fulltext.Asked.of.__func__
+    monkeypatch.setattr(fulltext.Asked, "of", classmethod(lambda cls, *a: units.append(made(cls, *a)) or units[-1]))
+    got = []
+    for rare in (0, 12, 100):
+        monkeypatch.setattr(fulltext, "RARE", rare)
+        got.append({(r.query_id, r["rank"], r.chunk_id, round(r.score, 9), r["mode"]) for r in fulltext.bm25_topk(questions, docs, 5).collect()})
+    assert got[0] == got[1] == got[2] and len(got[0]) == 200 and {m for *_, m in got[0]} == {"relaxed"}
+    assert len(units[0].block.keys) > 30 and len(units[2].block.keys) <= 15
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_bound_of_some_rows(spark, monkeypatch, metric):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-3, 4, (600, 8)).astype(float)
+    x[300:360] = x[7]  # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = rows.where("vec_id % 10 = 7").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    near = vectors._nearest
+    monkeypatch.setattr(vectors, "FORE", 100)
+    bounded = {tuple(r) for r in vectors.exact_topk(asked, rows, 1, metric, dim=8).collect()}
+    monkeypatch.setattr(vectors, "FORE", 10_000)
+    assert bounded == {tuple(r) for r in vectors.exact_topk(asked, rows, 1, metric, dim=8).collect()} and bounded
+    # the k-th of some rows leaves the result as it is
+    a, order = x[:50], np.arange(600)
+    q, _, d = near(a, x[::3], np.arange(200), 20, metric, 64)
+    far = np.maximum.reduceat(d, np.searchsorted(q, np.arange(50)))
+    assert all((m == n).all() for m, n in zip(near(a, x, order, 20, metric, 64, far), near(a, x, order, 20, metric, 64)))
+
+
 def test_vector_bytes_and_distance(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<float>, b array<float>")
     r = df.select(vectors.from_bytes(vectors.to_bytes("a")).alias("v"), vectors.distance("a", "b", "cosine").alias("c"), vectors.distance("a", "b", "l2").alias("l"), vectors.distance("a", "b", "ip").alias("i")).first()
