@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 from paperweir.functions import text
 from paperweir.operators import evaluation, fulltext, fusion, vectors
 from paperweir.plans import base, texts
+from paperweir.session import cut
 from paperweir.sources.tables import table
 
 
-def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return fulltext.bm25_topk(base.items(spark, d).select("query_id", "query"), base.chunks(spark, d).select("chunk_id", "text"), k)
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks, written once for a query that reads them several times."""
+    return cut(base.chunks(spark, d).select("chunk_id", "chunk_uid", "paper_id", "page_number", "text", "embedding"), "chunks")
+
+
+def _bm25(spark: SparkSession, d: str, k: int, chunks: DataFrame | None = None) -> DataFrame:
+    c = base.chunks(spark, d) if chunks is None else chunks
+    return fulltext.bm25_topk(base.items(spark, d).select("query_id", "query"), c.select("chunk_id", "text"), k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -20,14 +27,15 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, 10).withColumn("score", F.round("score", 6))
 
 
-def _examples(spark: SparkSession, d: str) -> DataFrame:
+def _examples(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     """Every eval item with the vector of its first true chunk."""
     first = base.items(spark, d).select("query_id", F.get(evaluation.truth_set("truth"), F.lit(0)).alias("chunk_uid"))
-    return first.join(base.chunks(spark, d).select("chunk_uid", F.col("embedding").alias("vector")), "chunk_uid").select("query_id", "vector")
+    return first.join(chunks.select("chunk_uid", F.col("embedding").alias("vector")), "chunk_uid").select("query_id", "vector")
 
 
-def _vector_list(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return vectors.exact_topk(_examples(spark, d), base.chunks(spark, d), k, "cosine", "query_id", "vector", "chunk_id", "embedding")
+def _vector_list(spark: SparkSession, d: str, k: int, chunks: DataFrame | None = None) -> DataFrame:
+    c = base.chunks(spark, d) if chunks is None else chunks
+    return vectors.exact_topk(_examples(spark, d, c), c, k, "cosine", "query_id", "vector", "chunk_id", "embedding")
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -58,14 +66,14 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", F.round(vectors.norm("embedding"), 6).alias("norm"), F.round(vectors.norm(vectors.normalize("embedding")), 6).alias("unit"))
 
 
-def _lists(spark: SparkSession, d: str) -> DataFrame:
-    a = _bm25(spark, d, 20).select("query_id", F.lit("fts").alias("backend"), "rank", "chunk_id", F.col("score").alias("raw_score"))
-    b = _vector_list(spark, d, 20).select("query_id", F.lit("vector").alias("backend"), "rank", "chunk_id", F.col("distance").alias("raw_score"))
+def _lists(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    a = _bm25(spark, d, 20, chunks).select("query_id", F.lit("fts").alias("backend"), "rank", "chunk_id", F.col("score").alias("raw_score"))
+    b = _vector_list(spark, d, 20, chunks).select("query_id", F.lit("vector").alias("backend"), "rank", "chunk_id", F.col("distance").alias("raw_score"))
     return a.unionByName(b)
 
 
-def _hybrid(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return fusion.rrf(_lists(spark, d), k, {"fts": 1.0, "vector": 1.0})
+def _hybrid(spark: SparkSession, d: str, k: int = 10, chunks: DataFrame | None = None) -> DataFrame:
+    return fusion.rrf(_lists(spark, d, _stored(spark, d) if chunks is None else chunks), k, {"fts": 1.0, "vector": 1.0})
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +88,9 @@ def rrf_provenance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_text(spark: SparkSession, d: str) -> DataFrame:
-    got = _hybrid(spark, d).select("query_id", "rank", "chunk_id")
-    c = base.chunks(spark, d).select("chunk_id", "chunk_uid", "paper_id", "page_number", "text")
+    stored = _stored(spark, d)
+    got = _hybrid(spark, d, chunks=stored).select("query_id", "rank", "chunk_id")
+    c = stored.select("chunk_id", "chunk_uid", "paper_id", "page_number", "text")
     return got.join(c, "chunk_id").join(base.items(spark, d).select("query_id", "query"), "query_id")
 
 
@@ -96,7 +105,8 @@ def generation_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    got = _hybrid(spark, d).join(base.chunks(spark, d).select("chunk_id", "chunk_uid"), "chunk_id")
+    stored = _stored(spark, d)
+    got = _hybrid(spark, d, chunks=stored).join(stored.select("chunk_id", "chunk_uid"), "chunk_id")
     return evaluation.retrieval_metrics(got, base.items(spark, d))
 
 
@@ -134,7 +144,8 @@ def eval_failures(spark: SparkSession, d: str) -> DataFrame:
 
 def context_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Whether truth and citations are within the generation context."""
-    ctx = fusion.generation_context(_with_text(spark, d), 5)
+    # written once: pages and uids of the context are read each for itself
+    ctx = cut(fusion.generation_context(_with_text(spark, d), 5).select("query_id", "chunk_uid", "paper_id", "page_number"), "context")
     return evaluation.context_diagnostics(base.items(spark, d), ctx, _citations(spark, d))
 
 

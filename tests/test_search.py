@@ -196,6 +196,15 @@ def test_bound_of_some_rows(spark, monkeypatch, metric):
     assert all((m == n).all() for m, n in zip(near(a, x, order, 20, metric, 64, far), near(a, x, order, 20, metric, 64)))
 
 
+def test_context_is_made_once(spark, small):
+    from paperweir.plans import search
+    from paperweir.session import scratch
+
+    with scratch():
+        plan = search.context_diagnostics(spark, small)._jdf.queryExecution().toString()
+        assert "MapInArrow" not in plan and "/context-" in plan  # no list is made again for pages and for uids
+
+
 def test_vector_bytes_and_distance(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0])], "a array<float>, b array<float>")
     r = df.select(vectors.from_bytes(vectors.to_bytes("a")).alias("v"), vectors.distance("a", "b", "cosine").alias("c"), vectors.distance("a", "b", "l2").alias("l"), vectors.distance("a", "b", "ip").alias("i")).first()
